@@ -39,5 +39,5 @@ def ascii_lower(text):
 
 
 def words_of(text):
-    """Array of words; a null or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD, -1), lambda w: w != "")
+    """Array of words; null where the text has none."""
+    return F.split(F.nullif(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), F.lit("")), NOT_WORD, -1)

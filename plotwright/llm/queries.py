@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plotwright.llm import chat, mixing
+from plotwright.llm import chat, fingerprints, mixing
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
+    "op2_simhash_tables": fingerprints.op2_simhash_tables,
     "op8_perspective_rotation": chat.op8_perspective_rotation,
 }
 
