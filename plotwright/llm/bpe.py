@@ -21,7 +21,7 @@ SLICE, CELLS, MEMORY = 1 << 20, 1 << 18, 200_000
 #: A vocabulary file goes to the executors whole, so its size is checked.
 LARGEST_FILE = 64 << 20
 #: White space as Unicode's property has it; the regex module counts four control characters more.
-SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def splitter(pattern: str) -> regex.Pattern:
@@ -148,7 +148,7 @@ _made: dict = {}
 
 def worker_bpe(file, pattern: str) -> Bpe:
     """One encoder in each Python worker."""
-    key = (file.id, pattern)
+    key = (hashlib.sha256(file.value).digest(), pattern)
     if key not in _made:
         _made.clear()
         _made[key] = Bpe(file.value, pattern)
