@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plotwright.llm import bpe, chat, fingerprints, licenses, mixing, near_dedup, pii, suffix_dedup
+from plotwright.llm import bpe, chat, fingerprints, licenses, mixing, near_dedup, pii, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
     "op2_simhash_tables": fingerprints.op2_simhash_tables,
+    "op3_kneser_ney_bands": quality_rules.op3_kneser_ney_bands,
     "op4_anchor_expansion": pii.op4_anchor_expansion,
     "op5_ball_simhash": near_dedup.op5_ball_simhash,
     "op6_byte_bpe": bpe.op6_byte_bpe,
