@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotwright.llm import bpe, chat, fingerprints, licenses, mixing, near_dedup, pii, quality_rules, suffix_dedup
+from plotwright.llm import bpe, chat, cotrain, fingerprints, licenses, mixing, near_dedup, pii, quality_rules, suffix_dedup
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_anchor_expansion": pii.op4_anchor_expansion,
     "op5_ball_simhash": near_dedup.op5_ball_simhash,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_cotraining": cotrain.op7_cotraining,
     "op8_perspective_rotation": chat.op8_perspective_rotation,
     "op9_set_join": licenses.op9_set_join,
     "op10_cover_suffixes": suffix_dedup.op10_cover_suffixes,
