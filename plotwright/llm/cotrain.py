@@ -21,6 +21,8 @@ LABELLED, UNLABELLED = 8000, 4000
 ROUNDS, CONFIDENT, EACH = 4, 0.97, 400
 WORD_BITS, BINS, META_BITS = 15, 10, 10
 STEPS = 150
+#: Length of a text's words and value of a shape in the text view; decay of weights.
+WORD_VALUE, SHAPE_VALUE, DECAY = 4.0, 1.0, 1e-3
 #: A document is rejected below this probability of being good.
 THRESHOLD = 0.5
 SLICE = 1 << 20
@@ -78,7 +80,7 @@ class View:
         for t in range(1, STEPS + 1):
             p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[col] * val, n) + w[-1], -30, 30)))
             e = (p - y) * share
-            g = np.append(np.bincount(col, e[row] * val, self.width), e.sum()) + 2e-6 * w
+            g = np.append(np.bincount(col, e[row] * val, self.width), e.sum()) + DECAY * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w = w - 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         self.weight = w
@@ -129,7 +131,7 @@ def text_rows(key, distinct, shapes, edges):
     doc, n = key >> WORD_BITS, len(distinct)
     bins = np.stack([np.searchsorted(edges[i], shapes[:, i], "right") for i in range(len(SHAPES))], 1) + np.arange(len(SHAPES)) * BINS + (1 << WORD_BITS)
     row = np.concatenate([doc, np.repeat(np.arange(n), len(SHAPES))])
-    val = np.concatenate([4 / np.sqrt(distinct[doc]), np.full(n * len(SHAPES), 0.5)])
+    val = np.concatenate([WORD_VALUE / np.sqrt(distinct[doc]), np.full(n * len(SHAPES), SHAPE_VALUE)])
     return row, np.concatenate([key & ((1 << WORD_BITS) - 1), bins.ravel()]), val
 
 
