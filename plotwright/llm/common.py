@@ -41,3 +41,11 @@ def ascii_lower(text):
 def words_of(text):
     """Array of words; null where the text has none."""
     return F.split(F.nullif(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), F.lit("")), NOT_WORD, -1)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """name, lengthened until none of columns has it (Spark doesn't tell cases apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import durable
+from plotwright.llm.common import durable, fresh
 
 #: A broadcast of rates is allowed up to this many table entries (8 bytes each); beyond it the join is salted.
 BROADCAST_ENTRIES = 1_000_000
@@ -53,18 +53,18 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: floa
     docs with the added names are replaced. An empty table gives an empty one.
     """
     docs = docs.drop(*[c for c in docs.columns if c in ("n_copies", "copy_no", "mix_key")])
-    rates = source_rates(docs, weights, default_weight, epochs, source, text).select("__source", poisson_cdf(F.col("__rate")).alias("__cdf"))
-    entries = rates.agg(F.sum(F.size("__cdf"))).first()[0] or 0
-    same = F.col(source).eqNullSafe(F.col("__source"))
+    of, cdf, draw, salt, part = (fresh(docs.columns, c) for c in ("__of", "__cdf", "__draw", "__salt", "__part"))
+    rates = source_rates(docs, weights, default_weight, epochs, source, text).select(F.col("__source").alias(of), poisson_cdf(F.col("__rate")).alias(cdf))
+    entries = rates.agg(F.sum(F.size(cdf))).first()[0] or 0
+    same = F.col(source).eqNullSafe(F.col(of))
     if entries <= BROADCAST_ENTRIES:
         joined = docs.join(F.broadcast(rates), same, "left")
     else:
-        spread = docs.withColumn("__salt", F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int"))
-        rates = rates.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = spread.join(rates, same & (F.col("__salt") == F.col("__part")), "left").drop("__salt", "__part")
-    u = uniform(seed, F.col(key))
-    copies = F.size(F.filter(F.col("__cdf"), lambda c: c < F.col("__u")))
-    out = joined.withColumn("__u", u).withColumn("n_copies", copies.cast("long")).where("n_copies > 0")
+        spread = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int"))
+        rates = rates.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = spread.join(rates, same & (F.col(salt) == F.col(part)), "left").drop(salt, part)
+    copies = F.size(F.filter(F.col(cdf), lambda c: c < F.col(draw)))
+    out = joined.withColumn(draw, uniform(seed, F.col(key))).withColumn("n_copies", copies.cast("long")).where("n_copies > 0")
     out = out.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
     # A hash decides the partition and the place in it, which permutes the whole corpus without a sampling pass.

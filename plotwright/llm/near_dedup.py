@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.llm import packed
-from plotwright.llm.common import ascii_lower, documents, durable, words_of
+from plotwright.llm.common import ascii_lower, documents, durable, fresh, words_of
 from plotwright.llm.components import components
 from plotwright.llm.simhash import differing, hex16, majority, votes
 
@@ -141,12 +141,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """Rows of docs, one of each component: that of the smallest doc_id (of several with that id: of the smallest text hash; of equal rows: one)."""
     found = near_components(docs, key, text)
     best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-    best = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    tied = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = tied.join(best, tied["__h"].eqNullSafe(best["__hash"]) & tied[key].eqNullSafe(best["__id"]))
+    best_id, best_hash, h, nth = (fresh(docs.columns, c) for c in ("__best_id", "__best_hash", "__h", "__nth"))
+    best = best.select(F.col("k.doc_id").alias(best_id), F.col("k.text_hash").alias(best_hash))
+    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = hashed.join(best, F.col(h).eqNullSafe(F.col(best_hash)) & F.col(key).eqNullSafe(F.col(best_id)))
     # Equal rows meet in the partition where the join left them.
-    one = F.row_number().over(Window.partitionBy("__hash", "__id").orderBy(F.lit(0)))
-    return kept.withColumn("__one", one).where("__one = 1").select(*docs.columns)
+    one = F.row_number().over(Window.partitionBy(best_hash, best_id).orderBy(F.lit(0)))
+    return kept.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def op5_ball_simhash(spark, sf_dir):
