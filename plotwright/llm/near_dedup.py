@@ -20,7 +20,7 @@ SHINGLE, RADIUS = 4, 4
 #: Fingerprints of which a task makes the variants at once: 2048 x 2081 numbers, 34 MB.
 CHUNK = 2048
 #: Variants are compared by so many bits more than it takes to number them all; one in 2**SPARE meets another by chance and is sorted out later.
-SPARE = 10
+SPARE = 8
 
 
 def shingle_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
