@@ -41,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and digests of the ids and of the decoded bytes, a row per copy."""
     path, pattern = bpe.public_vocabulary()
-    return bpe.decode(bpe.encode(docs, path, pattern, keep=("doc_id", "source")), path, pattern, digests=True)
+    return bpe.round_trip(docs, path, pattern, keep=("doc_id", "source"))
 
 
 STAGES = [

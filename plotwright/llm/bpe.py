@@ -220,6 +220,26 @@ def decode(coded: DataFrame, path: str, pattern: str, digests: bool = False) ->
     return rows.mapInArrow(run, f"{ddl}, {new}")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256 of each row: decode(encode(docs), digests=True) in one worker a task, without the ids leaving it."""
+    file = load(docs.sparkSession, path)
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+
+    def run(batches):
+        bpe = worker_bpe(file, pattern)
+        for b in batches:
+            lens = pc.binary_length(b.column(len(keep))).to_numpy(zero_copy_only=False)
+            for i, j in slices(lens, SLICE):
+                coded = bpe.encode(b.column(len(keep))[i:j].to_pylist())
+                back = pa.array([sha(bpe.decode(np.frombuffer(x, "<u4"))) for x in coded])
+                new = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(list(map(sha, coded))), back]
+                yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(len(keep))), *new], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def public_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
@@ -228,4 +248,4 @@ def public_vocabulary() -> tuple[str, str]:
 
 def op6_byte_bpe(spark, sf_dir):
     path, pattern = public_vocabulary()
-    return decode(encode(documents(spark, sf_dir), path, pattern), path, pattern, digests=True)
+    return round_trip(documents(spark, sf_dir), path, pattern)

@@ -241,6 +241,8 @@ def test_op6(spark, odd):
         ids = reference.encode_ordinary(t)
         want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.encode())))
     assert got(spark, "op6_byte_bpe", odd, "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == sorted(want, key=repr)
+    twice = bpe.decode(bpe.encode(spark.read.parquet(f"{odd}/documents.parquet"), path, pattern), path, pattern, digests=True)
+    assert sorted(map(tuple, twice.collect()), key=repr) == sorted(want, key=repr)
     coded = bpe.encode(spark.read.parquet(f"{odd}/documents.parquet"), path, pattern)
     assert all(bytes(r.decoded).decode() == reference.decode(r.token_ids) for r in bpe.decode(coded, path, pattern).collect())
 
