@@ -1 +1,124 @@
+"""Text scalars on documents, conversations and pages."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plotwright.functions import text as X
+from plotwright.plans.registry import plan
+from plotwright.session import table as t
+
+_q = lambda x: "'" + x.replace("'", "''") + "'"
+
+
+def _contains(low: str, found) -> str:
+    return "(" + " or ".join(f"contains({low}, {_q(w)})" for w in found) + ")"
+
+
+LOW = "lower(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)))"
+
+
+@plan(f"""select doc_id, case when length({LOW}) < 30 then 'insufficient_content' when doc_id % 7 = 0 and doc_id % 2 = 0 then 'stale' when {_contains(LOW, X.SPAM)} then 'spam_signal'
+  when not {_contains(LOW, X.RELEVANCE["real_estate"])} then 'irrelevant_keywords' else 'accepted' end as reason from documents""")
+def evidence_filter(spark, sf):
+    """Posts are dated by their number here: every 7th has a date, half of those are old."""
+    d = t(spark, sf, "documents")
+    published = F.when(F.col("doc_id") % 7 == 0, F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-05-01"))).cast("timestamp")
+    return d.select("doc_id", X.evidence_reason(F.col("text"), published, F.lit("2024-06-01").cast("timestamp")).alias("reason"))
+
+
+@plan("""select doc_id, case when regexp_matches(lower(text), '[а-яіїєґ]') then 'ru' when contains(lower(text), ' el ') or contains(lower(text), ' la ') or contains(lower(text), ' piso')
+  or contains(lower(text), ' alquiler') or contains(lower(text), ' en ') then 'es' when regexp_matches(lower(text), '[a-z]') then 'en' else 'unknown' end as guess from documents""")
+def lang_guess(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", X.language(F.col("text")).alias("guess"))
+
+
+@plan(r"""select doc_id, sha256(strip_accents(lower(text))) as folded_sha256, len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) as n_words from documents""")
+def folded_text(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("folded_sha256"), F.size(X.words(X.fold(F.col("text")))).cast("long").alias("n_words"))
+
+
+NUMBERS = ["1,200", "1.200", "1,5 млн", "200k", "1.5", "0,75 ha", "1.200.000", "1,200,000.50", "1.234,5", "none", "12 345", "3 mm", "7 тыс", "2.500 €", "0.125"]
+VALUES = [1200.0, 1200.0, 1.5e6, 2e5, 1.5, 0.75, 1.2e6, 1200000.5, 1234.5, None, 12345.0, 3e6, 7000.0, 2500.0, 0.125]
+
+
+@plan("select p_partkey, v from part join (values " + ", ".join(f"({i}, {'null' if v is None else v}::double)" for i, v in enumerate(VALUES)) + f") s(n, v) on n = p_partkey % {len(VALUES)}")
+def number_parse(spark, sf):
+    raw = F.get(F.array(*map(F.lit, NUMBERS)), F.col("p_partkey").cast("int") % len(NUMBERS))
+    return t(spark, sf, "part").select("p_partkey", X.parse_number(raw).alias("v"))
+
+
+@plan("""select p_partkey, '~' || replace(format('{:,}', round_even(p_retailprice * 37, 0)::bigint), ',', ' ') || ' ' || case p_partkey % 3 when 0 then '€' when 1 then '$' else 'CHF' end as money,
+  case when p_size % 10 = 1 and p_size % 100 <> 11 then 'комната' when p_size % 10 between 2 and 4 and p_size % 100 not between 12 and 14 then 'комнаты' else 'комнат' end as rooms_word,
+  case p_partkey % 4 when 0 then 'EUR' when 1 then 'USD' when 2 then 'GBP' end as code from part""")
+def money_text(spark, sf):
+    k = F.col("p_partkey") % 3
+    c = F.when(k == 0, "EUR").when(k == 1, "USD").otherwise("CHF")
+    raw = F.get(F.array(*map(F.lit, (" euros ", "$", "gbp", "coins"))), F.col("p_partkey").cast("int") % 4)
+    return t(spark, sf, "part").select("p_partkey", X.money(F.col("p_retailprice") * 37, c).alias("money"), X.plural(F.col("p_size"), "комната", "комнаты", "комнат").alias("rooms_word"), X.currency_code(raw).alias("code"))
+
+
+_TOK = "list_distinct(list_transform(list_filter(regexp_extract_all(strip_accents(lower(text)), 'site:[a-z0-9.-]+|\\d+|[\\p{L}]+'), lambda w: w not in (" + ", ".join(map(_q, X.QUERY_STOP)) + ")), lambda w: case when regexp_matches(w, '^\\d') then w else left(w, 5) end))"
+
+
+@plan(f"select item_id, left(array_to_string(list_sort({_TOK}), ' '), 400) as query_key from benchmark")
+def query_keys(spark, sf):
+    return t(spark, sf, "benchmark").select("item_id", X.query_key(F.col("text")).alias("query_key"))
+
+
+@plan(r"""select doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\+\d[\d ().-]{6,}\d')) > 0 as has_contact,
+  least(3, len(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\+\d[\d ().-]{6,}\d')))) as n_contacts from documents""")
+def contact_mask(spark, sf):
+    """How many contacts a text has; the contacts themselves stay masked."""
+    m = X.masked_contacts(F.col("text"))
+    return t(spark, sf, "documents").select("doc_id", (F.size(m) > 0).alias("has_contact"), F.size(m).cast("long").alias("n_contacts"))
+
+
+@plan("""select a.s_suppkey, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2))), 3) as km
+  from (select s_suppkey, (s_suppkey * 7 % 170 - 85)::double as la1, (s_suppkey * 13 % 350 - 175)::double as lo1, 40.4168::double as la2, -3.7038::double as lo2 from supplier) a""")
+def distance_km(spark, sf):
+    k = F.col("s_suppkey")
+    d = X.haversine((k * 7 % 170 - 85).cast("double"), (k * 13 % 350 - 175).cast("double"), F.lit(40.4168), F.lit(-3.7038))
+    return t(spark, sf, "supplier").select("s_suppkey", F.round(d, 3).alias("km"))
+
+
+STAMPS = ["3 h", "ayer", "hace 2 días", "just now", "21.05.2024", "1 week", "unknown", "12 min", "2 meses", "1 y", "21 de septiembre"]
+AGES = ["3/24.0", "1.0", "2.0", "0.0", "11.0", "7.0", "null", "12/1440.0", "60.0", "365.0", "null"]
+
+
+@plan("select event_id, round(a, 6) as age, coalesce(a <= 14, false) as recent, coalesce(a > 14, false) as stale from events join (values " + ", ".join(f"({i}, ({a})::double)" for i, a in enumerate(AGES)) + f") s(n, a) on n = event_id % {len(AGES)}")
+def relative_age(spark, sf):
+    raw = F.get(F.array(*map(F.lit, STAMPS)), (F.col("event_id") % len(STAMPS)).cast("int"))
+    e = t(spark, sf, "events").select("event_id", X.age_days(raw, F.lit("2024-06-01").cast("timestamp")).alias("a"))
+    return e.select("event_id", F.round("a", 6).alias("age"), X.recent(F.col("a"), 14).alias("recent"), X.stale(F.col("a"), 14).alias("stale"))
+
+
+@plan("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d')::date as listed, o_orderdate::date < date '1997-06-01' as past from orders where o_orderkey % 5 <> 0
+  union all select o_orderkey, null, false from orders where o_orderkey % 5 = 0""")
+def listing_dates(spark, sf):
+    raw = F.when(F.col("o_orderkey") % 5 == 0, F.date_format("o_orderdate", "yyyy/MM")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    named = X.dates_named(F.concat(F.lit("on "), raw, F.lit(".")))
+    return t(spark, sf, "orders").select("o_orderkey", X.listing_date(raw).alias("listed"), X.past_event(named, F.lit("1997-06-01").cast("date")).alias("past"))
+
+
+@plan("""select conv_id, turn, 'conv:' || sha256('real_estate:' || conv_id || '-' || turn) as finding_key, sha256(coalesce(text, '')) as content_hash from conversations""")
+def content_keys(spark, sf):
+    c = t(spark, sf, "conversations")
+    return c.select("conv_id", "turn", F.concat(F.lit("conv:"), F.sha2(F.concat_ws("", F.lit("real_estate:"), "conv_id", F.lit("-"), "turn"), 256)).alias("finding_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+
+
+PLACES = ["the", "ist", "le", "que"]
+
+
+@plan("select doc_id, list_filter([" + ", ".join(f"case when regexp_matches(' ' || strip_accents(lower(text)) || ' ', '[^\\p{{L}}\\p{{N}}_]{p}[^\\p{{L}}\\p{{N}}_]') then '{p}' end" for p in PLACES) + "], lambda v: v is not null) as places from documents")
+def places_named(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", X.find_places(F.col("text"), PLACES).alias("places"))
+
+
+@plan("""select p_partkey, trim(regexp_replace(regexp_replace(lower(p_brand || ' S.L.'), '\\b(s\\.?\\s?l\\.?|s\\.?\\s?a\\.?)(\\W|$)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as agency,
+  case when length(regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g')) >= 3 then regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') else '' end as ref,
+  true as strong from part""")
+def agency_keys(spark, sf):
+    p = t(spark, sf, "part")
+    r = X.ref_key(F.col("p_brand"))
+    return p.select("p_partkey", X.agency_key(F.concat("p_brand", F.lit(" S.L."))).alias("agency"), r.alias("ref"), X.strong_ref(r).alias("strong"))
