@@ -50,7 +50,7 @@ def budget_bucket(spark, sf):
 _SCORE = """round_even(0.4 * (case when amount is null then 0.5 when price is null or currency <> rcur then 0.3 when off <= 0 then case when is_max then 1.0 else greatest(0.0, 1 - abs(off)) end else greatest(0.0, 1 - 4 * off) end)
   + 0.15 * (case when rrooms is null then 0.5 when rooms is null then 0.4 when rooms = rrooms then 1.0 when rooms > rrooms then 0.8 else 0.2 end)
   + 0.15 * (case when min_area is null then case when area is not null then 0.6 else 0.5 end when area is null then 0.4 when area / min_area >= 1 then 1.0 when area / min_area >= 0.9 then 0.7 else 0.1 end)
-  + 0.3 * ((price is not null)::int + (area is not null)::int + (rooms is not null)::int + (coalesce(city, '') <> '')::int + 1 + (id % 2 = 0)::int) / 6.0, 3)::double"""
+  + 0.3 * ((price is not null)::int + (area is not null)::int + (rooms is not null)::int + (coalesce(city, '') <> '')::int + 1 + (id % 2 = 0)::int) / 6.0, 4)::double"""
 
 
 @plan(f"""select request_id::bigint as request_id, id, bucket, score from (select *, {_SCORE} as score, row_number() over (partition by request_id order by case when bucket = 'exact' then 0 else 1 end, {_SCORE} desc, price nulls last, id) as k from {GRADED} where bucket <> 'excluded') where k <= 20""")
@@ -59,7 +59,7 @@ def card_rank(spark, sf):
     from plotwright.operators.relational import last_n
 
     g = M.graded(listings(spark, sf), WANTED).where("bucket <> 'excluded'")
-    g = g.withColumn("score", F.bround(M.card_score(F.col("x"), F.col("r"), F.col("id") % 2 == 0), 3))
+    g = g.withColumn("score", M.card_score(F.col("x"), F.col("r"), F.col("id") % 2 == 0))
     order = [F.when(F.col("bucket") == "exact", 0).otherwise(1), F.desc("score"), F.col("x.price").asc_nulls_last(), F.col("id")]
     return last_n(g, ["request_id"], order, 20).select("request_id", "id", "bucket", "score")
 
