@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plotwright.functions import text as X
 from plotwright.plans.registry import plan
+from plotwright.session import spread
 from plotwright.session import table as t
 
 _q = lambda x: "'" + x.replace("'", "''") + "'"
@@ -22,7 +23,7 @@ LOW = "lower(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12
   when not {_contains(LOW, X.RELEVANCE["real_estate"])} then 'irrelevant_keywords' else 'accepted' end as reason from documents""")
 def evidence_filter(spark, sf):
     """Posts are dated by their number here: every 7th has a date, half of those are old."""
-    d = t(spark, sf, "documents")
+    d = spread(t(spark, sf, "documents"))
     published = F.when(F.col("doc_id") % 7 == 0, F.when(F.col("doc_id") % 2 == 0, F.lit("2024-01-01")).otherwise(F.lit("2024-05-01"))).cast("timestamp")
     return d.select("doc_id", X.evidence_reason(F.col("text"), published, F.lit("2024-06-01").cast("timestamp")).alias("reason"))
 
@@ -30,12 +31,12 @@ def evidence_filter(spark, sf):
 @plan("""select doc_id, case when regexp_matches(lower(text), '[а-яіїєґ]') then 'ru' when contains(lower(text), ' el ') or contains(lower(text), ' la ') or contains(lower(text), ' piso')
   or contains(lower(text), ' alquiler') or contains(lower(text), ' en ') then 'es' when regexp_matches(lower(text), '[a-z]') then 'en' else 'unknown' end as guess from documents""")
 def lang_guess(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", X.language(F.col("text")).alias("guess"))
+    return spread(t(spark, sf, "documents")).select("doc_id", X.language(F.col("text")).alias("guess"))
 
 
 @plan(r"""select doc_id, sha256(strip_accents(lower(text))) as folded_sha256, len(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) as n_words from documents""")
 def folded_text(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("folded_sha256"), F.size(X.words(X.fold(F.col("text")))).cast("long").alias("n_words"))
+    return spread(t(spark, sf, "documents")).select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("folded_sha256"), F.size(X.words(X.fold(F.col("text")))).cast("long").alias("n_words"))
 
 
 NUMBERS = ["1,200", "1.200", "1,5 млн", "200k", "1.5", "0,75 ha", "1.200.000", "1,200,000.50", "1.234,5", "none", "12 345", "3 mm", "7 тыс", "2.500 €", "0.125"]
@@ -71,7 +72,7 @@ def query_keys(spark, sf):
 def contact_mask(spark, sf):
     """How many contacts a text has; the contacts themselves stay masked."""
     m = X.masked_contacts(F.col("text"))
-    return t(spark, sf, "documents").select("doc_id", (F.size(m) > 0).alias("has_contact"), F.size(m).cast("long").alias("n_contacts"))
+    return spread(t(spark, sf, "documents")).select("doc_id", (F.size(m) > 0).alias("has_contact"), F.size(m).cast("long").alias("n_contacts"))
 
 
 @plan("""select a.s_suppkey, round(2 * 6371.0088 * asin(sqrt(pow(sin(radians(la2 - la1) / 2), 2) + cos(radians(la1)) * cos(radians(la2)) * pow(sin(radians(lo2 - lo1) / 2), 2))), 3) as km
@@ -112,7 +113,7 @@ PLACES = ["the", "ist", "le", "que"]
 
 @plan("select doc_id, list_filter([" + ", ".join(f"case when regexp_matches(' ' || strip_accents(lower(text)) || ' ', '[^\\p{{L}}\\p{{N}}_]{p}[^\\p{{L}}\\p{{N}}_]') then '{p}' end" for p in PLACES) + "], lambda v: v is not null) as places from documents")
 def places_named(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", X.find_places(F.col("text"), PLACES).alias("places"))
+    return spread(t(spark, sf, "documents")).select("doc_id", X.find_places(F.col("text"), PLACES).alias("places"))
 
 
 @plan("""select p_partkey, trim(regexp_replace(regexp_replace(lower(p_brand || ' S.L.'), '\\b(s\\.?\\s?l\\.?|s\\.?\\s?a\\.?)(\\W|$)', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) as agency,

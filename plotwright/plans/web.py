@@ -8,6 +8,7 @@ from plotwright.functions import urls as U
 from plotwright.operators import html
 from plotwright.operators import relational as R
 from plotwright.plans.registry import plan
+from plotwright.session import spread
 from plotwright.session import table as t
 
 HOST = r"lower(regexp_extract(url, '^https?://(?:[^/?#]*@)?([^/?#:]*)', 1))"
@@ -23,7 +24,7 @@ SITE = f"case when {HOST} like 'www.%.%' or {HOST} like 'm.%.%' then regexp_repl
 
 @plan(f"select page_id, norm, sha256(norm) as url_key from {NORMAL}")
 def url_identity(spark, sf):
-    return t(spark, sf, "pages").select("page_id", U.normalize(F.col("url")).alias("norm")).withColumn("url_key", F.sha2("norm", 256))
+    return spread(t(spark, sf, "pages")).select("page_id", U.normalize(F.col("url")).alias("norm")).withColumn("url_key", F.sha2("norm", 256))
 
 
 @plan(f"""with k as (select page_id, url, norm, {SITE} as host, row_number() over (partition by norm order by page_id) as k from {NORMAL}),
@@ -31,14 +32,14 @@ def url_identity(spark, sf):
   select page_id, host, sha256(norm) as url_key, turn from q order by turn, host, page_id limit 50""")
 def url_frontier(spark, sf):
     """Pages by identity, the first of each, dealt fairly over hosts."""
-    p = t(spark, sf, "pages").select("page_id", U.normalize(F.col("url")).alias("norm"), U.site(F.col("url")).alias("host"))
+    p = spread(t(spark, sf, "pages")).select("page_id", U.normalize(F.col("url")).alias("norm"), U.site(F.col("url")).alias("host"))
     q = R.round_robin(R.first_per(p, ["norm"], [F.col("page_id")]), ["host"], [F.col("page_id")])
     return q.orderBy("turn", "host", "page_id").limit(50).select("page_id", "host", F.sha2("norm", 256).alias("url_key"), F.col("turn").cast("long"))
 
 
 @plan(f"""select {SITE} as host, count(*) as links, count(*) filter (where url like 'https:%') as secure, min(left(url, 90)) as example_url from pages group by 1""")
 def site_report(spark, sf):
-    p = t(spark, sf, "pages").select(U.site(F.col("url")).alias("host"), "url")
+    p = spread(t(spark, sf, "pages")).select(U.site(F.col("url")).alias("host"), "url")
     return p.groupBy("host").agg(F.count("*").alias("links"), F.count_if(F.startswith("url", F.lit("https:"))).alias("secure"), F.min(F.left("url", F.lit(90))).alias("example_url"))
 
 
@@ -46,7 +47,7 @@ def site_report(spark, sf):
   from (select page_id, {SITE} as h from pages)""")
 def blocked_hosts(spark, sf):
     h = U.site(F.col("url"))
-    return t(spark, sf, "pages").select("page_id", U.under(h, ["spam-farm.example.org", "cheap-pills.example.com"]).alias("blocked"))
+    return spread(t(spark, sf, "pages")).select("page_id", U.under(h, ["spam-farm.example.org", "cheap-pills.example.com"]).alias("blocked"))
 
 
 # A set of addresses of every shape, joined to pages by number.
@@ -62,7 +63,7 @@ SHAPES_SQL = "(values " + ", ".join(f"({i}, '{u}')" for i, u in enumerate(SHAPES
 def shapes(spark, sf):
     """Every page's number with the shape of its remainder: as many rows as pages."""
     each = F.array(*map(F.lit, SHAPES))
-    return t(spark, sf, "pages").select("page_id", F.get(each, F.col("page_id").cast("int") % len(SHAPES)).alias("url"))
+    return spread(t(spark, sf, "pages")).select("page_id", F.get(each, F.col("page_id").cast("int") % len(SHAPES)).alias("url"))
 
 
 _deal_words = "(select string_split_regex(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '[/\\-_.]+') as w)"
@@ -94,14 +95,14 @@ def url_classes(spark, sf):
 @plan()
 def html_extract(spark, sf):
     """Title, text and counts of links of every page; compared with the standard parser in the tests."""
-    p = html.parse_pages(t(spark, sf, "pages"))
+    p = html.parse_pages(spread(t(spark, sf, "pages")))
     return p.select("page_id", "title", F.sha2("body", 256).alias("body_sha256"), F.length("body").alias("n_chars"), F.size("links").alias("n_links"))
 
 
 @plan(r"""select page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) as title,
   len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) as n_links from pages""")
 def page_titles(spark, sf):
-    p = html.parse_pages(t(spark, sf, "pages"))
+    p = html.parse_pages(spread(t(spark, sf, "pages")))
     return p.select("page_id", "title", F.size("links").cast("long").alias("n_links"))
 
 
@@ -109,7 +110,7 @@ def page_titles(spark, sf):
   f as (select page_id, root || href as link, min(pos) as pos from l where href like '/%' group by 1, 2), k as (select *, row_number() over (partition by page_id order by pos) as k from f)
   select page_id, link, pos from k where k <= 4""")
 def page_links(spark, sf):
-    return html.page_links(html.parse_pages(t(spark, sf, "pages")), 4).select("page_id", "link", F.col("pos").cast("long"))
+    return html.page_links(html.parse_pages(spread(t(spark, sf, "pages"))), 4).select("page_id", "link", F.col("pos").cast("long"))
 
 
 @plan(f"""with q as (select page_id, case when page_id % 4 = 0 then 'flats site:' || h else 'flats in ' || h end as text from (select page_id, {SITE} as h from pages))
@@ -117,5 +118,5 @@ def page_links(spark, sf):
 def site_query_stats(spark, sf):
     h = U.site(F.col("url"))
     text = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("flats site:"), h)).otherwise(F.concat(F.lit("flats in "), h))
-    q = t(spark, sf, "pages").select("page_id", text.alias("text")).where(F.col("text").ilike("%site:%"))
+    q = spread(t(spark, sf, "pages")).select("page_id", text.alias("text")).where(F.col("text").ilike("%site:%"))
     return q.groupBy(F.regexp_extract("text", r"site:(\S+)", 1).alias("host")).agg(F.count("*").alias("queries"), F.sum(F.col("page_id") % 10).alias("results"))

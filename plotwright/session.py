@@ -25,3 +25,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "6g
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its scan has fewer parts than the session has cores (a small file of one row group); a large scan stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
