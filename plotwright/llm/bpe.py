@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import documents
+from plotwright.llm.common import dealt_documents
 
 NONE = np.int32(0x7FFFFFFF)
 #: Characters of text split at once; cells of a matrix; pieces that a worker remembers.
@@ -248,4 +248,4 @@ def public_vocabulary() -> tuple[str, str]:
 
 def op6_byte_bpe(spark, sf_dir):
     path, pattern = public_vocabulary()
-    return round_trip(documents(spark, sf_dir), path, pattern)
+    return round_trip(dealt_documents(spark, sf_dir), path, pattern)

@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwright.session import spread
+
 #: Words are runs of anything but ASCII white space.
 NOT_WORD = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, over all cores even if the file is small; for operators in free style."""
+    return spread(documents(spark, sf_dir))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder that the session names; only a session without one (tests) gets a local one."""
     sc = spark.sparkContext

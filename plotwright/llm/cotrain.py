@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm.bpe import slices
-from plotwright.llm.common import documents
+from plotwright.llm.common import dealt_documents
 from plotwright.llm.flat import Flat
 from plotwright.llm.licenses import WORD
 from plotwright.llm.quality_rules import base_counts
@@ -239,5 +239,5 @@ def keep_good(docs: DataFrame, model: Model | None, text: str = "text") -> DataF
 
 
 def op7_cotraining(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs = dealt_documents(spark, sf_dir)
     return score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm.bpe import slices
-from plotwright.llm.common import documents
+from plotwright.llm.common import dealt_documents
 from plotwright.llm.flat import Flat, word_hash
 
 #: Fixed phrases and their labels: places where the words stand one after the other.
@@ -169,4 +169,4 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
 
 def op9_set_join(spark, sf_dir):
-    return scan(documents(spark, sf_dir))
+    return scan(dealt_documents(spark, sf_dir))

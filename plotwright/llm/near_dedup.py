@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.llm import packed
-from plotwright.llm.common import ascii_lower, documents, durable, fresh, words_of
+from plotwright.llm.common import ascii_lower, dealt_documents, durable, fresh, words_of
 from plotwright.llm.components import components
 from plotwright.llm.simhash import differing, hex16, majority, votes
 
@@ -151,6 +151,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def op5_ball_simhash(spark, sf_dir):
-    found = near_components(documents(spark, sf_dir))
+    found = near_components(dealt_documents(spark, sf_dir))
     copies = F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("__copy")
     return found.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id", copies).drop("__copy")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm.bpe import slices
-from plotwright.llm.common import documents
+from plotwright.llm.common import dealt_documents
 
 #: In the order in which spans are listed.
 BASE = ("email", "ip", "card", "phone")
@@ -165,4 +165,4 @@ def mask(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op4_anchor_expansion(spark, sf_dir):
-    return find(documents(spark, sf_dir))
+    return find(dealt_documents(spark, sf_dir))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm import packed
-from plotwright.llm.common import documents, durable
+from plotwright.llm.common import dealt_documents, durable
 
 LENGTH = 200
 #: Bytes of text in a chunk row (a longer document is a chunk of its own), in a bucket of the chunk table, and suffixes sorted at once.
@@ -215,4 +215,4 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
 
 
 def op10_cover_suffixes(spark, sf_dir):
-    return repeated(documents(spark, sf_dir))
+    return repeated(dealt_documents(spark, sf_dir))
