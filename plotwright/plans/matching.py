@@ -135,3 +135,26 @@ def run_scores(spark, sf):
 def backed_facts(spark, sf):
     text = F.concat(F.col("p_name"), F.col("p_size").cast("string"), F.col("p_brand"))
     return t(spark, sf, "part").select("p_partkey", M.backed(F.col("p_size"), text).alias("size"))
+
+
+@plan(f"""select id, case when coalesce(deal <> 'sale', false) then 'deal' when coalesce(area < 100 * 0.75 - 1e-9, false) then 'area' end as reason from {SQL}""")
+def task_prefilter(spark, sf):
+    from plotwright.operators import rules as S
+
+    none = F.lit(None).cast("double")
+    return listings(spark, sf).select("id", S.prefilter(F.col("deal"), F.col("area"), F.lit("sale"), F.lit(100.0), none).alias("reason"))
+
+
+@plan(f"""select agency, arg_max(id, (coalesce(price, 0), id)) as id, count(*) as n_sources from {SQL} group by 1""")
+def best_per_agency(spark, sf):
+    from plotwright.operators import rules as S
+
+    known = listings(spark, sf).select("agency", F.coalesce("price", F.lit(0.0)).alias("price"), "id")
+    return S.best_per_person(known, "agency", "price", ["id"]).select("agency", "id", "n_sources")
+
+
+@plan(f"""select site, max(title) filter (where length(title) = m) as title, list_sort(list(distinct city) filter (where city is not null)) as engines from (select *, max(length(title)) over (partition by site) as m from {SQL}) group by 1""")
+def merged_hits(spark, sf):
+    from plotwright.operators import rules as S
+
+    return S.merged_hits(listings(spark, sf), "site", "title", "city")

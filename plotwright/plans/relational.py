@@ -423,3 +423,32 @@ def longest_prefix_price(spark, sf):
     s = t(spark, sf, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
     j = t(spark, sf, "lineitem").select("l_suppkey", "l_quantity").join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return j.groupBy(F.col("n_name").alias("model")).agg(F.round(F.sum(F.col("l_quantity") * F.col("price")), 3).alias("usd"))
+
+
+@plan("""select event_type as item, round(sum(value), 4) as usd from events where user_id % 4 = 0 and ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-20' group by 1""")
+def off_campaign(spark, sf):
+    """Spend without a campaign (users divisible by four stand for none) in an interval."""
+    campaign = F.when(F.col("user_id") % 4 != 0, F.col("user_id"))
+    e = t(spark, sf, "events").withColumn("campaign", campaign).where("campaign is null and ts >= timestamp_ntz '2024-01-05' and ts < timestamp_ntz '2024-01-20'")
+    return e.groupBy(F.col("event_type").alias("item")).agg(F.round(F.sum("value"), 4).alias("usd"))
+
+
+@plan("""select user_id, n as items from (select user_id, count(*) as n from events group by 1) where n > 60""")
+def json_array_lengths(spark, sf):
+    arrays = t(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list("event_id")).alias("j"))
+    return arrays.select("user_id", F.json_array_length("j").cast("long").alias("items")).where("items > 60")
+
+
+@plan("""select user_id, count(*) as n from events group by 1""")
+def json_array_lateral(spark, sf):
+    """A stored JSON array back to rows."""
+    arrays = t(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list(F.col("event_id").cast("string"))).alias("j"))
+    return arrays.select("user_id", F.explode(F.from_json("j", "array<string>")).alias("x")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@plan("""select lane, item, turn from (select l_returnflag as lane, l_orderkey * 10 + l_linenumber as item, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) as turn from lineitem) order by turn, lane limit 30""")
+def interleaved_lanes(spark, sf):
+    lanes = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("lane"), "l_orderkey", "l_linenumber")
+    few = R.last_n(lanes, ["lane"], [F.col("l_orderkey"), F.col("l_linenumber")], 30)  # no lane gives more than the limit
+    turned = R.round_robin(few, ["lane"], [F.col("l_orderkey"), F.col("l_linenumber")])
+    return turned.orderBy("turn", "lane").limit(30).select("lane", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("turn").cast("long"))
