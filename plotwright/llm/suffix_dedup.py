@@ -22,6 +22,8 @@ LENGTH = 200
 #: Bytes of text in a chunk row (a longer document is a chunk of its own), in a bucket of the chunk table, and suffixes sorted at once.
 CHUNK, TABLE_BUCKET, PART = 8 << 20, 16 << 20, 1 << 21
 SPARE = 12
+#: What a mark that goes back to its chunk is about.
+SAMPLE, SUFFIX, COPY = 0, 1, 2
 #: Odd, so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -52,6 +54,7 @@ class Chunk:
         self.lens = lens
         self.ends = np.cumsum(lens)
         self.starts = self.ends - lens
+        self.open = np.ones(len(lens), bool)  # documents whose suffixes take part
 
     def parts(self) -> Iterator[tuple[int, int, int]]:
         for part, start in enumerate(range(0, len(self.flat), PART)):
@@ -72,7 +75,7 @@ class Chunk:
         first, last = np.searchsorted(self.ends, [start, start + n - 1], "right")
         docs = np.arange(first, last + 1)
         a, b = np.maximum(self.starts[docs], start), np.minimum(self.ends[docs] - length + 1, start + n)
-        size = np.maximum(b - a, 0)
+        size = np.where(self.open[docs], np.maximum(b - a, 0), 0)
         at = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
         if sampled:
             v, residues = cover()
@@ -118,8 +121,28 @@ def _rows(batches):
             base, i = base + 1, j
 
 
-def _chunk(group: pa.Table) -> tuple[int, Chunk]:
-    return group["chunk"][0].as_py(), Chunk(zstandard.decompress(group["body"][0].as_py()), np.array(group["lens"][0].as_py(), np.int64))
+def _chunk(group: pa.Table, told: dict | None = None) -> tuple[int, Chunk, np.ndarray]:
+    """The id of a chunk row, the chunk without its redundant copies, and the numbers of all its copies."""
+    c = Chunk(zstandard.decompress(group["body"][0].as_py()), np.array(group["lens"][0].as_py(), np.int64))
+    copies = [(doc, first) for (phase, doc), rows in (told or {}).items() if phase == COPY for first, _ in rows]
+    c.open[[doc for doc, first in copies if not first]] = False
+    return group["chunk"][0].as_py(), c, np.array([doc for doc, _ in copies], np.int64)
+
+
+def _digests(own: pa.Table) -> pa.Table:
+    """Of every document that has a string of LENGTH: chunk, number in the chunk, digest."""
+    chunk, c, _ = _chunk(own)
+    long = np.flatnonzero(c.lens >= LENGTH).tolist()
+    digests = [hashlib.blake2b(c.flat[c.starts[i] : c.ends[i]], digest_size=16).digest() for i in long]
+    return pa.Table.from_pydict({"chunk": pa.array([chunk] * len(long), pa.int64()), "part": pa.array(long, pa.int32()), "digest": pa.array(digests, pa.binary())})
+
+
+def _copies(chunks: DataFrame) -> DataFrame:
+    """SENT and phase of all documents that have equal ones: part is the number in the chunk, bucket is 1 for the first of its kind."""
+    rows = durable(chunks.groupBy("chunk").applyInArrow(_digests, "chunk long, part int, digest binary"))
+    kinds = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "part")).alias("first")).where("n > 1")
+    first = (F.struct("chunk", "part") == F.col("first")).cast("int")
+    return rows.join(kinds, "digest").select("chunk", "part", first.alias("bucket"), F.lit(None).cast("binary").alias("blob"), F.lit(COPY).alias("phase"))
 
 
 def _told(group: pa.Table) -> dict[tuple[int, int], list[tuple[int, bytes]]]:
@@ -137,6 +160,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
     empty; shorter documents lose nothing; repeated rows lose all that they share. Strings are judged on the input.
 
     1. Documents are written once as compressed chunks, in a table bucketed by chunk, so that no later step shuffles text.
+       Of equal documents all bytes go, and only the first takes part in what follows, so copies cost nothing.
     2. Suffixes at difference-cover places are named by their first bytes; names are sorted bucket by bucket
        (packed.py) and tied ones are marked. If two strings of LENGTH bytes are equal, some place lies in the cover for
        both, so both have a tied sample in reach.
@@ -157,24 +181,27 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
     bits = (min(packed.bucket_bits(n_samples), width), packed.bucket_bits(max(2, total // 4)))
     empty = packed.SENT_ARROW.empty_table()
 
-    def send_samples(own: pa.Table) -> pa.Table:
-        chunk, c = _chunk(own)
+    def send_samples(own: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(own):
+            return empty
+        chunk, c, _ = _chunk(own, _told(told))
         sent = [row for part, start, n in c.parts() for row in packed.sent(chunk, part, c.samples(start, n, width)[1], bits[0], width)]
         return pa.Table.from_batches([packed.batch(sent)]) if sent else empty
 
     def tied_samples(c: Chunk, told: dict) -> np.ndarray:
         tied = np.zeros(len(c.flat), bool)
         for part, start, n in c.parts():
-            if (0, part) in told:
+            if (SAMPLE, part) in told:
                 at, names = c.samples(start, n, width)
-                tied[start + at[packed.marked(names, bits[0], width, told[0, part])]] = True
+                tied[start + at[packed.marked(names, bits[0], width, told[SAMPLE, part])]] = True
         return tied
 
     def send_suffixes(own: pa.Table, told: pa.Table) -> pa.Table:
         if not len(own) or not len(told):
             return empty
-        chunk, c = _chunk(own)
-        tied = tied_samples(c, _told(told))
+        marks = _told(told)
+        chunk, c, _ = _chunk(own, marks)
+        tied = tied_samples(c, marks)
         sent = [row for part, start, n in c.parts() for row in packed.sent(chunk, part, c.suffixes(start, n, tied)[1], bits[1], 64)]
         return pa.Table.from_batches([packed.batch(sent)]) if sent else empty
 
@@ -184,15 +211,17 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
     def take_out(own: pa.Table, told: pa.Table) -> pa.Table:
         if not len(own):
             return schema.empty_table()
-        _, c = _chunk(own)
         marks = _told(told)
+        _, c, copies = _chunk(own, marks)
         step = np.zeros(len(c.flat) + 1, np.int32)
-        if any(phase == 1 for phase, _ in marks):
+        np.add.at(step, c.starts[copies], 1)
+        np.add.at(step, c.ends[copies], -1)
+        if any(phase == SUFFIX for phase, _ in marks):
             tied = tied_samples(c, marks)
             for part, start, n in c.parts():
-                if (1, part) in marks:
+                if (SUFFIX, part) in marks:
                     at, keys = c.suffixes(start, n, tied)
-                    at = start + at[packed.marked(keys, bits[1], 64, marks[1, part])]
+                    at = start + at[packed.marked(keys, bits[1], 64, marks[SUFFIX, part])]
                     np.add.at(step, at, 1)
                     np.add.at(step, at + LENGTH, -1)
         gone = np.cumsum(step[:-1], dtype=np.int32) > 0
@@ -205,9 +234,11 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
             out.append((doc_id, b - a, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
         return pa.Table.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), schema.types)], schema=schema)
 
-    first = durable(packed.ties(chunks.groupBy("chunk").applyInArrow(send_samples, packed.SENT), bits[0]).withColumn("phase", F.lit(0)))
+    copies = durable(_copies(chunks))
+    samples = chunks.groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(send_samples, packed.SENT)
+    first = durable(packed.ties(samples, bits[0]).withColumn("phase", F.lit(SAMPLE)).unionByName(copies))
     suffixes = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_suffixes, packed.SENT)
-    both = first.unionByName(packed.ties(suffixes, bits[1]).withColumn("phase", F.lit(1)))
+    both = first.unionByName(packed.ties(suffixes, bits[1]).withColumn("phase", F.lit(SUFFIX)))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     found = durable(chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(take_out, ddl))
     spark.sql(f"drop table {name}")
