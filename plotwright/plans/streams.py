@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plotwright.operators import identity
 from plotwright.operators.relational import first_per
 from plotwright.plans.registry import plan
+from plotwright.session import shared_dir
 from plotwright.session import table as t
 from plotwright.streaming import state as S
 
@@ -20,8 +20,7 @@ def _stream(spark, sf, name="events"):
 
 def _finish(spark, out, mode="append"):
     """The stream's rows after all input, from a durable sink in the checkpoint folder."""
-    identity.checkpointed(spark.range(1))
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     q = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/rows")
@@ -50,8 +49,7 @@ def query_reuse(spark, sf):
 @plan("""select min(event_id) as event_id, user_id from events group by user_id""")
 def claimed_once(spark, sf):
     """The first event of each user, whatever the batches: insert-ignore by foreachBatch."""
-    identity.checkpointed(spark.range(1))
-    base = f"{spark.sparkContext.getCheckpointDir()}/claims-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}"
     s = _stream(spark, sf).select("user_id", "event_id")
     sink = S.insert_ignore_sink(f"{base}/rows", ["user_id"], [F.col("event_id")])
     s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,3 +33,17 @@ def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if its scan has fewer parts than the session has cores (a small file of one row group); a large scan stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only a session without one (tests) gets a local one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plotwright-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that lost executors lose nothing."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
