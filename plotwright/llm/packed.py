@@ -31,22 +31,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted uint64 as byte planes of their differences."""
+def pack(values: np.ndarray, checks: np.ndarray | None = None) -> bytes:
+    """Sorted uint64 as byte planes of their differences, then a uint32 beside each if given."""
     steps = np.diff(values)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return struct.pack("<IBQ", len(values), width, int(values[0])) + zstandard.compress(planes.tobytes(), 1)
+    body = zstandard.compress(planes.tobytes(), 1)
+    return struct.pack("<IBQI", len(values), width, int(values[0]), len(body)) + body + (b"" if checks is None else checks.astype("<u4").tobytes())
 
 
-def unpack(blob: bytes) -> np.ndarray:
-    n, width, first = struct.unpack_from("<IBQ", blob)
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    n, width, first, size = struct.unpack_from("<IBQI", blob)
+    at = struct.calcsize("<IBQI")
     steps = np.zeros((n, 8), np.uint8)
     if n > 1:
-        steps[1:, :width] = np.frombuffer(zstandard.decompress(blob[13:]), np.uint8).reshape(width, n - 1).T
+        steps[1:, :width] = np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8).reshape(width, n - 1).T
     values = steps.view(np.uint64).ravel()
     values[0] = first
-    return np.cumsum(values, dtype=np.uint64)
+    checks = np.frombuffer(blob[at + size :], "<u4")
+    return np.cumsum(values, dtype=np.uint64), checks if len(checks) else None
 
 
 def bucket_bits(total: int) -> int:
@@ -60,12 +63,13 @@ def cuts(values: np.ndarray, bits: int, width: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
 
 
-def sent(chunk: int, part: int, values: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """The rows of one part of a chunk; values are sorted."""
+def sent(chunk: int, part: int, values: np.ndarray, bits: int, width: int, checks: np.ndarray | None = None) -> Iterator[tuple[int, int, int, bytes]]:
+    """The rows of one part of a chunk; values are sorted. checks: more bits of each number, which must be equal too."""
     at = cuts(values, bits, width)
     for bucket in range(1 << bits):
-        if at[bucket] < at[bucket + 1]:
-            yield chunk, part, bucket, pack(values[at[bucket] : at[bucket + 1]])
+        a, b = at[bucket], at[bucket + 1]
+        if a < b:
+            yield chunk, part, bucket, pack(values[a:b], None if checks is None else checks[a:b])
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -74,16 +78,24 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _tied(group: pa.Table) -> pa.Table:
     blobs = [unpack(x.as_buffer().to_pybytes()) for x in group["blob"]]
-    every = np.sort(np.concatenate(blobs))
-    again = every[1:][every[1:] == every[:-1]]
-    again = again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
+    values = np.concatenate([v for v, _ in blobs])
+    order = np.argsort(values)
+    same = np.diff(values[order]) == 0
+    if blobs[0][1] is not None:
+        checks = np.concatenate([c for _, c in blobs])
+        agree = np.diff(checks[order]) == 0
+        if (same & ~agree).any():  # unequal strings with equal numbers: only now does the order by checks matter
+            order = np.lexsort((checks, values))
+            same, agree = np.diff(values[order]) == 0, np.diff(checks[order]) == 0
+        same &= agree
+    mark = np.zeros(len(values), bool)
+    mark[order[1:][same]] = mark[order[:-1][same]] = True
+    ends = np.cumsum([len(v) for v, _ in blobs])
     keep, marks = [], []
-    for i, values in enumerate(blobs if len(again) else []):
-        at = np.searchsorted(again, values)
-        at[at == len(again)] = 0
-        if (mark := again[at] == values).any():
+    for i, own in enumerate(np.split(mark, ends[:-1])):
+        if own.any():
             keep.append(i)
-            marks.append(np.packbits(mark).tobytes())
+            marks.append(np.packbits(own).tobytes())
     out = group.select(["chunk", "part", "bucket"]).take(pa.array(keep, pa.int64()))
     return pa.Table.from_arrays([*out.columns, pa.array(marks, pa.binary())], schema=SENT_ARROW)
 

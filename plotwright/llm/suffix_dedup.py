@@ -24,8 +24,8 @@ CHUNK, TABLE_BUCKET, PART = 8 << 20, 16 << 20, 1 << 21
 SPARE = 12
 #: What a mark that goes back to its chunk is about.
 SAMPLE, SUFFIX, COPY = 0, 1, 2
-#: Odd, so that it has an inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
+#: Odd, so that they have inverses modulo 2**64. The first gives the sort keys, the second 32 bits that must agree as well.
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 @lru_cache
@@ -36,14 +36,15 @@ def cover(r: int = 1) -> tuple[int, list[int]]:
 
 
 @lru_cache
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random number for each byte; powers of BASE and of its inverse."""
+def tables(base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte; powers of the base and of its inverse."""
+
     def powers(x: int) -> np.ndarray:
         out = np.full(PART + LENGTH + 1, x, np.uint64)
         out[0] = 1
         return np.cumprod(out)
 
-    return np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64), powers(BASE), powers(pow(BASE, -1, 1 << 64))
+    return np.random.default_rng(base % 1000).integers(0, 1 << 64, 256, np.uint64), powers(base), powers(pow(base, -1, 1 << 64))
 
 
 class Chunk:
@@ -60,15 +61,15 @@ class Chunk:
         for part, start in enumerate(range(0, len(self.flat), PART)):
             yield part, start, min(PART, len(self.flat) - start)
 
-    def sums(self, start: int, n: int) -> np.ndarray:
+    def sums(self, start: int, n: int, base: int = BASE) -> np.ndarray:
         """Polynomial prefix sums over the part and what its last suffixes need beyond it."""
-        number, power, _ = tables()
+        number, power, _ = tables(base)
         b = self.flat[start : start + n + LENGTH]
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[b] * power[: len(b)])])
 
-    def hashes(self, sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    def hashes(self, sums: np.ndarray, at: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
         """Of the strings of so many bytes from the places `at` in the part."""
-        return packed.mix((sums[at + length] - sums[at]) * tables()[2][at])
+        return packed.mix((sums[at + length] - sums[at]) * tables(base)[2][at])
 
     def places(self, start: int, n: int, length: int, sampled: bool) -> np.ndarray:
         """Places in the part from which `length` bytes lie in one document; only those of the cover if sampled (by place in the document)."""
@@ -101,6 +102,10 @@ class Chunk:
         order = np.argsort(key, kind="stable")
         return at[order], key[order]
 
+    def checks(self, start: int, n: int, at: np.ndarray) -> np.ndarray:
+        """32 more bits of the strings of LENGTH bytes, by another polynomial."""
+        return (self.hashes(self.sums(start, n, SECOND), at, LENGTH, SECOND) >> np.uint64(32)).astype(np.uint32)
+
 
 def _rows(batches):
     """Documents of a partition as chunk rows."""
@@ -165,7 +170,8 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
        (packed.py) and tied ones are marked. If two strings of LENGTH bytes are equal, some place lies in the cover for
        both, so both have a tied sample in reach.
     3. Only suffixes with a tied sample in reach are sorted, by the hash of LENGTH bytes and again bucket by bucket, so
-       that a task holds one bucket. Order among unequal suffixes isn't needed, so a 64-bit hash stands for them.
+       that a task holds one bucket. Order among unequal suffixes isn't needed, so a 64-bit hash stands for them; those
+       that tie must agree in 32 bits of a second hash as well.
     4. Marks go back to their chunks, which take out what is covered.
     """
     spark = docs.sparkSession
@@ -202,7 +208,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
         marks = _told(told)
         chunk, c, _ = _chunk(own, marks)
         tied = tied_samples(c, marks)
-        sent = [row for part, start, n in c.parts() for row in packed.sent(chunk, part, c.suffixes(start, n, tied)[1], bits[1], 64)]
+        sent = []
+        for part, start, n in c.parts():
+            at, keys = c.suffixes(start, n, tied)
+            sent += packed.sent(chunk, part, keys, bits[1], 64, c.checks(start, n, at) if len(at) else None)
         return pa.Table.from_batches([packed.batch(sent)]) if sent else empty
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]

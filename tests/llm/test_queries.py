@@ -338,3 +338,24 @@ def test_op7_odd_tables(spark, odd, empty):
     labels = spark.read.parquet(f"{empty}/labels.parquet")
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     assert cotrain.fit(docs, labels) is None and cotrain.score(docs, None).where("kept").count() == docs.count()
+
+
+def test_packed_ties():
+    """Ties of small numbers, with and without checks, against counts."""
+    import pyarrow as pa
+
+    from plotwright.llm import packed
+
+    rng = np.random.default_rng(0)
+    for _ in range(100):
+        values = [np.sort(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(3)]
+        checks = [rng.integers(0, 3, len(v)).astype(np.uint32) for v in values]
+        for use in (False, True):
+            blobs = [packed.pack(v, c if use else None) for v, c in zip(values, checks)]
+            assert all((packed.unpack(b)[0] == v).all() and (not use or (packed.unpack(b)[1] == c).all()) for b, v, c in zip(blobs, values, checks))
+            group = pa.table([pa.array([0, 1, 2], pa.int64()), pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int32()), pa.array(blobs, pa.binary())], schema=packed.SENT_ARROW)
+            n = Counter((int(a), int(b) * use) for v, c in zip(values, checks) for a, b in zip(v, c))
+            told = {r["chunk"]: r["blob"] for r in packed._tied(group).to_pylist()}
+            for i, (v, c) in enumerate(zip(values, checks)):
+                want = [n[int(a), int(b) * use] > 1 for a, b in zip(v, c)]
+                assert any(want) == (i in told) and (i not in told or np.unpackbits(np.frombuffer(told[i], np.uint8), count=len(v)).astype(bool).tolist() == want)
