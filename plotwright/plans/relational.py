@@ -433,17 +433,17 @@ def off_campaign(spark, sf):
     return e.groupBy(F.col("event_type").alias("item")).agg(F.round(F.sum("value"), 4).alias("usd"))
 
 
-@plan("""select user_id, n as items from (select user_id, count(*) as n from events group by 1) where n > 60""")
+@plan("""select p_partkey, len(string_split(p_name || ' ' || p_type, ' ')) as items from part where len(string_split(p_name || ' ' || p_type, ' ')) >= 3""")
 def json_array_lengths(spark, sf):
-    arrays = t(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list("event_id")).alias("j"))
-    return arrays.select("user_id", F.json_array_length("j").cast("long").alias("items")).where("items > 60")
+    stored = t(spark, sf, "part").select("p_partkey", F.to_json(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("j"))
+    return stored.select("p_partkey", F.json_array_length("j").cast("long").alias("items")).where("items >= 3")
 
 
-@plan("""select user_id, count(*) as n from events group by 1""")
+@plan("""select word, count(*) as n from (select unnest(string_split(p_name, ' ')) as word from part) group by 1""")
 def json_array_lateral(spark, sf):
-    """A stored JSON array back to rows."""
-    arrays = t(spark, sf, "events").groupBy("user_id").agg(F.to_json(F.collect_list(F.col("event_id").cast("string"))).alias("j"))
-    return arrays.select("user_id", F.explode(F.from_json("j", "array<string>")).alias("x")).groupBy("user_id").agg(F.count("*").alias("n"))
+    """Stored JSON arrays back to rows."""
+    stored = t(spark, sf, "part").select(F.to_json(F.split("p_name", " ")).alias("j"))
+    return stored.select(F.explode(F.from_json("j", "array<string>")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @plan("""select lane, item, turn from (select l_returnflag as lane, l_orderkey * 10 + l_linenumber as item, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) as turn from lineitem) order by turn, lane limit 30""")
