@@ -32,12 +32,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pack(values: np.ndarray, checks: np.ndarray | None = None) -> bytes:
-    """Sorted uint64 as byte planes of their differences, then a uint32 beside each if given."""
+    """Sorted uint64 as byte planes of their differences, then a uint16 beside each if given."""
     steps = np.diff(values)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
     body = zstandard.compress(planes.tobytes(), 1)
-    return struct.pack("<IBQI", len(values), width, int(values[0]), len(body)) + body + (b"" if checks is None else checks.astype("<u4").tobytes())
+    return struct.pack("<IBQI", len(values), width, int(values[0]), len(body)) + body + (b"" if checks is None else checks.astype("<u2").tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
@@ -48,7 +48,7 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
         steps[1:, :width] = np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8).reshape(width, n - 1).T
     values = steps.view(np.uint64).ravel()
     values[0] = first
-    checks = np.frombuffer(blob[at + size :], "<u4")
+    checks = np.frombuffer(blob[at + size :], "<u2")
     return np.cumsum(values, dtype=np.uint64), checks if len(checks) else None
 
 

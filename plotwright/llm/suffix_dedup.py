@@ -24,7 +24,7 @@ CHUNK, TABLE_BUCKET, PART = 8 << 20, 16 << 20, 1 << 21
 SPARE = 12
 #: What a mark that goes back to its chunk is about.
 SAMPLE, SUFFIX, COPY = 0, 1, 2
-#: Odd, so that they have inverses modulo 2**64. The first gives the sort keys, the second 32 bits that must agree as well.
+#: Odd, so that they have inverses modulo 2**64. The first gives the sort keys, the second 16 bits that must agree as well.
 BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
@@ -103,8 +103,8 @@ class Chunk:
         return at[order], key[order]
 
     def checks(self, start: int, n: int, at: np.ndarray) -> np.ndarray:
-        """32 more bits of the strings of LENGTH bytes, by another polynomial."""
-        return (self.hashes(self.sums(start, n, SECOND), at, LENGTH, SECOND) >> np.uint64(32)).astype(np.uint32)
+        """16 more bits of the strings of LENGTH bytes, by another polynomial."""
+        return (self.hashes(self.sums(start, n, SECOND), at, LENGTH, SECOND) >> np.uint64(48)).astype(np.uint16)
 
 
 def _rows(batches):
@@ -171,7 +171,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
        both, so both have a tied sample in reach.
     3. Only suffixes with a tied sample in reach are sorted, by the hash of LENGTH bytes and again bucket by bucket, so
        that a task holds one bucket. Order among unequal suffixes isn't needed, so a 64-bit hash stands for them; those
-       that tie must agree in 32 bits of a second hash as well.
+       that tie must agree in 16 bits of a second hash as well.
     4. Marks go back to their chunks, which take out what is covered.
     """
     spark = docs.sparkSession

@@ -349,7 +349,7 @@ def test_packed_ties():
     rng = np.random.default_rng(0)
     for _ in range(100):
         values = [np.sort(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(3)]
-        checks = [rng.integers(0, 3, len(v)).astype(np.uint32) for v in values]
+        checks = [rng.integers(0, 3, len(v)).astype(np.uint16) for v in values]
         for use in (False, True):
             blobs = [packed.pack(v, c if use else None) for v, c in zip(values, checks)]
             assert all((packed.unpack(b)[0] == v).all() and (not use or (packed.unpack(b)[1] == c).all()) for b, v, c in zip(blobs, values, checks))
