@@ -170,3 +170,24 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
 
 def op9_set_join(spark, sf_dir):
     return scan(dealt_documents(spark, sf_dir))
+
+
+def oracle(phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The same rows by definition, in DuckDB SQL: all places of all phrases, all blocks against all templates."""
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    places = [f"list_filter(range(0, len(w) - {len(p.split())} + 1), lambda i: w[i+1:i+{len(p.split())}] = {quoted(p.split())})" for p in phrases]
+    labels = ", ".join(f"case when len(p{i}) > 0 then '{label}' end" for i, label in enumerate(phrases.values()))
+    rows = ", ".join(f"('{label}', {quoted(sorted(set(body.split())))}, {math.ceil(threshold * len(set(body.split())) - 1e-9)})" for label, body in templates.items())
+    every = " || ".join(f"p{i}" for i in range(len(places)))
+    return f"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+p as (select doc_id, w, {", ".join(f"{x} as p{i}" for i, x in enumerate(places))} from d),
+q as (select doc_id, len(w) as n_words, {every} as places, list_filter([{labels}], lambda x: x is not null) as base from p),
+b as (select doc_id, list_distinct(w[s+1:s+{BLOCK}]) as words from (select doc_id, w, unnest(range(0, greatest(1, len(w)), {BLOCK // 2})) as s from d)),
+t(label, words, need) as (values {rows}),
+m as (select doc_id, label, max(len(list_intersect(b.words, t.words))::double / len(t.words)) as c from b, t where len(list_intersect(b.words, t.words)) >= need group by 1, 2),
+l as (select doc_id, list(label) as labels, max(c) as score from m group by 1)
+select q.doc_id, n_words::bigint as n_words, len(places)::bigint as n_base, list_min(places)::bigint as first_word, list_max(places)::bigint as last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') as base_labels, array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') as labels, coalesce(score, 0.0)::double as score
+from q left join l using (doc_id)
+"""

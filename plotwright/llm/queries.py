@@ -20,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_poisson_mix": mixing.ORACLE,
     "op8_perspective_rotation": chat.ORACLE,
+    "op9_set_join": licenses.oracle(),
 }
