@@ -21,4 +21,5 @@ ORACLES = {
     "op1_poisson_mix": mixing.ORACLE,
     "op8_perspective_rotation": chat.ORACLE,
     "op9_set_join": licenses.oracle(),
+    "op10_cover_suffixes": suffix_dedup.ORACLE,
 }

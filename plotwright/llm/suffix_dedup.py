@@ -256,3 +256,18 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
 
 def op10_cover_suffixes(spark, sf_dir):
     return repeated(dealt_documents(spark, sf_dir))
+
+
+#: The same rows by definition, for small tables: every string of LENGTH bytes (as hex digits) is counted, and the bytes of those that stand twice go.
+ORACLE = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, length(hex(encode(coalesce(text, '')))) // 2 as n from documents),
+k as (select doc_id, s, md5(substr(h, s * 2 + 1, {2 * LENGTH})) as m from (select doc_id, h, unnest(range(0, n - {LENGTH - 1})) as s from d where n >= {LENGTH})),
+r as (select doc_id, s from (select doc_id, s, count(*) over (partition by m) as c from k) where c > 1),
+g as (select doc_id, s, sum(case when s <= before + {LENGTH} then 0 else 1 end) over (partition by doc_id order by s) as run from (select doc_id, s, lag(s) over (partition by doc_id order by s) as before from r)),
+runs as (select doc_id, min(s) as a, max(s) + {LENGTH} as z from g group by doc_id, run),
+gaps as (select doc_id, z as a, lead(a) over (partition by doc_id order by a) as z from runs union all select doc_id, 0, min(a) from runs group by doc_id),
+kept as (select doc_id, string_agg(substr(h, a * 2 + 1, (coalesce(z, n) - a) * 2), '' order by a) as h from gaps join d using (doc_id) group by doc_id),
+cut as (select doc_id, count(*) as spans, sum(z - a) as removed from runs group by doc_id)
+select d.doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join cut using (doc_id) left join kept using (doc_id)
+"""
