@@ -125,22 +125,23 @@ def near_links(classes: DataFrame, radius: int = RADIUS, fp: str = "fp") -> Data
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_hash, n, fp and component_id (the smallest doc_id reachable over links, itself included) of every distinct (doc_id, text).
+    """doc_id, text_hash, n, fp, component_id (the smallest doc_id reachable over links, itself included) and root of every distinct (doc_id, text).
 
-    Null doc_ids never name a component unless it has no other id. An empty table gives an empty one.
+    Null doc_ids never name a component unless it has no other id. Components of texts that share a doc_id, or have none,
+    can have one component_id; root, the smallest fingerprint, is a component's own. An empty table gives an empty one.
     """
     rows = durable(shingle_fingerprints(docs, key, text))
     classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(near_links(classes, radius))
     known = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "n", "fp", "component_id")
+    named = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "n", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs, one of each component: that of the smallest doc_id (of several with that id: of the smallest text hash; of equal rows: one)."""
     found = near_components(docs, key, text)
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
     best_id, best_hash, h, nth = (fresh(docs.columns, c) for c in ("__best_id", "__best_hash", "__h", "__nth"))
     best = best.select(F.col("k.doc_id").alias(best_id), F.col("k.text_hash").alias(best_hash))
     hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
