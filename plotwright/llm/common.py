@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.session import spread
+from plotwright.session import durable, shared_dir, spread  # noqa: F401
 
 #: Words are runs of anything but ASCII white space.
 NOT_WORD = "[\\x20\\x09-\\x0D]+"
@@ -23,21 +21,20 @@ def dealt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(documents(spark, sf_dir))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only a session without one (tests) gets a local one."""
-    sc = spark.sparkContext
-    where = sc.getCheckpointDir()
-    if where is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plotwright-"))
-        where = sc.getCheckpointDir()
-    return where
+#: A key is hot if it has more than this share of the rows, so there are at most 1 / HOT hot keys at any size; fewer than HOT_FLOOR rows are never hot.
+HOT, HOT_FLOOR = 1e-4, 64
+
 
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with per_key (one row for each key; n: how many of the `total` rows have it) on key, without n.
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that lost executors lose nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    Hot keys, of which there are at most 1 / HOT, are broadcast, so their rows stay where they are; the others are
+    shuffled. Null keys join nothing.
+    """
+    least = max(HOT_FLOOR, int(total * HOT))
+    hot = F.broadcast(per_key.where(F.col(n) > least).drop(n))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.where(F.col(n) <= least).drop(n), key)
+    return rows.join(hot, key).unionByName(cold)
 
 
 def ascii_lower(text):

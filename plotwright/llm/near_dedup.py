@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.llm import packed
-from plotwright.llm.common import ascii_lower, dealt_documents, durable, fresh, words_of
+from plotwright.llm.common import ascii_lower, dealt_documents, durable, fresh, join_hot, words_of
 from plotwright.llm.components import components
-from plotwright.llm.simhash import differing, hex16, majority, votes
+from plotwright.llm.simhash import hex16, majority, votes
 
 SHINGLE, RADIUS = 4, 4
 #: Fingerprints of which a task makes the variants at once: 2048 x 2081 numbers, 34 MB.
@@ -61,13 +61,28 @@ def _chunks(batches):
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([base], pa.int64()), "fps": pa.array([held.tobytes()], pa.binary())})
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, fp: str = "fp") -> DataFrame:
-    """Links a > b between distinct fingerprints within `radius` bits that connect all that such pairs connect.
+def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n numbers: the smallest that links a-b reach. Each round hooks roots on smaller ones and halves the paths."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for at in (a, b, root[a], root[b]):
+            np.minimum.at(new, at, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def near_roots(classes: DataFrame, radius: int = RADIUS, fp: str = "fp") -> DataFrame:
+    """fp and root (the smallest reachable over pairs within `radius` bits) of every distinct fingerprint that has such a pair; one without has no row, or is its own root.
 
     Every fingerprint emits all its variants within half the radius: two fingerprints within the radius share a variant,
-    and two that share one are within twice the half. Variants shared by several fingerprints are first found as packed
-    hashes (packed.py); only those are then written out, exact, and shuffled. On each variant all fingerprints link to
-    the smallest, so a group of n makes n links, not n * n. Links are deduplicated and their distance is verified.
+    and two that share one are within twice the half, so sharing an exact variant verifies a pair. Variants shared by
+    several fingerprints are first found as packed hashes (packed.py). A chunk contracts the fingerprints that share its
+    exact variants to their smallest, and only these local roots are written out under each shared variant and shuffled:
+    so a group of n near fingerprints makes n rows and links between the roots of its chunks, not n * n.
     """
     half = radius // 2
     assert radius == 2 * half, "the radius is even"
@@ -79,23 +94,23 @@ def near_links(classes: DataFrame, radius: int = RADIUS, fp: str = "fp") -> Data
     width = min(64, (total - 1).bit_length() + SPARE)
     bits = min(packed.bucket_bits(total), width)
 
-    def variants(fps: bytes) -> tuple[np.ndarray, np.ndarray]:
-        v = (np.frombuffer(fps, np.uint64)[:, None] ^ masks[None, :]).ravel()
+    def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = (fps.view(np.uint64)[:, None] ^ masks[None, :]).ravel()
         return v, packed.mix(v) >> np.uint64(64 - width)
 
     def emit(batches):
         for b in batches:
             for chunk, fps in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                hashes = variants(fps)[1]
+                hashes = variants(np.frombuffer(fps, np.int64))[1]
                 hashes.sort()
                 yield packed.batch(list(packed.sent(chunk, 0, hashes, bits, width)))
 
     def meet(own: pa.Table, told: pa.Table) -> pa.Table:
-        """Of the variants whose hash is shared: (variant, smallest fingerprint here) and (null, link within the chunk)."""
+        """Of the variants whose hash is shared: (variant, local root); of the fingerprints that have one: (null, fingerprint, local root)."""
         schema = pa.schema([("variant", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
         if not len(own) or not len(told):
             return schema.empty_table()
-        fps = own["fps"][0].as_py()
+        fps = np.sort(np.frombuffer(own["fps"][0].as_py(), np.int64))  # so a smaller number is a smaller fingerprint
         v, h = variants(fps)
         ordered = np.sort(h)
         shared = np.unique(ordered[packed.marked(ordered, bits, width, list(zip(told["bucket"].to_pylist(), told["blob"].to_pylist())))])
@@ -105,23 +120,27 @@ def near_links(classes: DataFrame, radius: int = RADIUS, fp: str = "fp") -> Data
         sieve[shared >> drop] = True
         at = np.flatnonzero(sieve[h >> drop])
         at = at[np.isin(h[at], shared)]
-        # By variant, then by fingerprint: the first of each variant is the chunk's smallest.
-        v, source = v[at].view(np.int64), np.frombuffer(fps, np.int64)[at // len(masks)]
+        # By variant, then by fingerprint: all of a variant link to its first.
+        v, source = v[at].view(np.int64), at // len(masks)
         order = np.lexsort((source, v))
         v, source = v[order], source[order]
         first = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.empty(0, bool)
         hub = source[np.flatnonzero(first)][np.cumsum(first) - 1] if len(v) else source
-        inner = np.unique(np.stack([source[~first], hub[~first]], 1), axis=0)
-        variant = pa.concat_arrays([pa.array(v[first]), pa.nulls(len(inner), pa.int64())])
-        return pa.Table.from_arrays([variant, pa.array(np.concatenate([source[first], inner[:, 0]])), pa.array(np.concatenate([source[first], inner[:, 1]]))], schema=schema)
+        link = np.unique(source[~first] * len(fps) + hub[~first])
+        root = _local_roots(len(fps), link // len(fps), link % len(fps))
+        some = np.unique(source)
+        variant = pa.concat_arrays([pa.array(v[first]), pa.nulls(len(some), pa.int64())])
+        node = np.concatenate([fps[root[source[first]]], fps[some]])
+        return pa.Table.from_arrays([variant, pa.array(node), pa.array(np.concatenate([node[: first.sum()], fps[root[some]]]))], schema=schema)
 
     told = packed.ties(chunks.mapInArrow(emit, packed.SENT), bits)
     met = chunks.repartition(parts, "chunk").groupBy("chunk").cogroup(told.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(meet, "variant long, a long, b long")
     met = durable(met)
     # A variant has at most as many fingerprints as the half ball has masks, so its window is bounded.
-    across = met.where("variant is not null").select("a", F.min("a").over(Window.partitionBy("variant")).alias("b"))
-    links = across.unionByName(met.where("variant is null").select("a", "b")).where("a != b").distinct()
-    return links.where(differing(F.col("a"), F.col("b")) <= radius)
+    across = met.where("variant is not null").select("a", F.min("a").over(Window.partitionBy("variant")).alias("b")).where("a != b").distinct()
+    top = components(across)
+    own = met.where("variant is null").select(F.col("a").alias("fp"), F.col("b").alias("node"))  # a local root has CHUNK rows at most
+    return own.join(top, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
 
 
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -131,24 +150,27 @@ def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     can have one component_id; root, the smallest fingerprint, is a component's own. An empty table gives an empty one.
     """
     rows = durable(shingle_fingerprints(docs, key, text))
-    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(near_links(classes, radius))
-    known = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id", "root")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "n", "fp", "component_id", "root")
+    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")))
+    roots = near_roots(classes, radius)
+    known = durable(classes.join(roots, "fp", "left").select("fp", "first_id", "n_rows", F.coalesce("root", "fp").alias("root")))
+    groups = known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_fps"))
+    size = known.agg(F.count("*"), F.sum("n_rows")).first()
+    named = join_hot(known.select("fp", "root", "n_rows"), groups, "root", "n_fps", size[0])
+    return join_hot(rows, named, "fp", "n_rows", size[1] or 0).select("doc_id", "text_hash", "n", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of docs, one of each component: that of the smallest doc_id (of several with that id: of the smallest text hash; of equal rows: one)."""
     found = near_components(docs, key, text)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("k"))
-    best_id, best_hash, h, nth = (fresh(docs.columns, c) for c in ("__best_id", "__best_hash", "__h", "__nth"))
-    best = best.select(F.col("k.doc_id").alias(best_id), F.col("k.text_hash").alias(best_hash))
-    hashed = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = hashed.join(best, F.col(h).eqNullSafe(F.col(best_hash)) & F.col(key).eqNullSafe(F.col(best_id)))
-    # Equal rows meet in the partition where the join left them.
-    one = F.row_number().over(Window.partitionBy(best_hash, best_id).orderBy(F.lit(0)))
-    return kept.withColumn(nth, one).where(F.col(nth) == 1).select(*docs.columns)
+    h, none, own, nth = (fresh(docs.columns, c) for c in ("__h", "__none", "__own", "__nth"))
+    # Columns without nulls, so that the window and the join need one and the same shuffle.
+    parted = lambda k: [k.isNull().alias(none), F.coalesce(k, F.lit(0).cast(docs.schema[key].dataType)).alias(own)]
+    best = best.select(F.col("k.text_hash").alias(h), *parted(F.col("k.doc_id")))
+    hashed = docs.select("*", F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(h), *parted(F.col(key)))
+    # One of equal rows, which tasks cut down before the shuffle.
+    one = F.row_number().over(Window.partitionBy(h, none, own).orderBy(F.lit(0)))
+    return hashed.withColumn(nth, one).where(F.col(nth) == 1).join(best, [h, none, own], "left_semi").select(*docs.columns)
 
 
 def op5_ball_simhash(spark, sf_dir):

@@ -31,25 +31,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def pack(values: np.ndarray, checks: np.ndarray | None = None) -> bytes:
-    """Sorted uint64 as byte planes of their differences, then a uint16 beside each if given."""
+#: n, bytes of a difference, whether values stand several times, whether there are checks, first value, size of the packed body.
+HEAD = "<IB??QI"
+
+
+def pack(values: np.ndarray, again: np.ndarray, checks: np.ndarray | None = None) -> bytes:
+    """Sorted uint64 as byte planes of their differences, a bit each for those that stand several times, a uint16 beside each if given."""
     steps = np.diff(values)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    body = zstandard.compress(planes.tobytes(), 1)
-    return struct.pack("<IBQI", len(values), width, int(values[0]), len(body)) + body + (b"" if checks is None else checks.astype("<u2").tobytes())
+    body = zstandard.compress(planes.tobytes() + (np.packbits(again).tobytes() if again.any() else b""), 1)
+    return struct.pack(HEAD, len(values), width, again.any(), checks is not None, int(values[0]), len(body)) + body + (b"" if checks is None else checks.astype("<u2").tobytes())
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray | None]:
-    n, width, first, size = struct.unpack_from("<IBQI", blob)
-    at = struct.calcsize("<IBQI")
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """values, again, checks."""
+    n, width, some, checked, first, size = struct.unpack_from(HEAD, blob)
+    at = struct.calcsize(HEAD)
+    body = np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8)
+    cut = width * (n - 1)
     steps = np.zeros((n, 8), np.uint8)
     if n > 1:
-        steps[1:, :width] = np.frombuffer(zstandard.decompress(blob[at : at + size]), np.uint8).reshape(width, n - 1).T
+        steps[1:, :width] = body[:cut].reshape(width, n - 1).T
     values = steps.view(np.uint64).ravel()
     values[0] = first
-    checks = np.frombuffer(blob[at + size :], "<u2")
-    return np.cumsum(values, dtype=np.uint64), checks if len(checks) else None
+    again = np.unpackbits(body[cut:], count=n).view(bool) if some else np.zeros(n, bool)
+    return np.cumsum(values, dtype=np.uint64), again, np.frombuffer(blob[at + size :], "<u2") if checked else None
 
 
 def bucket_bits(total: int) -> int:
@@ -57,19 +64,32 @@ def bucket_bits(total: int) -> int:
     return max(0, (total - 1).bit_length() - (BUCKET.bit_length() - 1))
 
 
-def cuts(values: np.ndarray, bits: int, width: int) -> np.ndarray:
-    """Where the buckets of sorted numbers of `width` bits begin, and the end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
+def cuts(values: np.ndarray, bits: int, width: int) -> tuple[list[int], list[int]]:
+    """Buckets that sorted numbers of `width` bits have, and where each begins, and the end."""
+    bucket = values >> np.uint64(width - bits) if bits else np.zeros(len(values), np.uint64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(values) else np.empty(0, np.int64)
+    return bucket[at].tolist(), [*at.tolist(), len(values)]
+
+
+def kinds(values: np.ndarray) -> np.ndarray:
+    """Marks the first of each run of equal numbers."""
+    return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.empty(0, bool)
 
 
 def sent(chunk: int, part: int, values: np.ndarray, bits: int, width: int, checks: np.ndarray | None = None) -> Iterator[tuple[int, int, int, bytes]]:
-    """The rows of one part of a chunk; values are sorted. checks: more bits of each number, which must be equal too."""
-    at = cuts(values, bits, width)
-    for bucket in range(1 << bits):
-        a, b = at[bucket], at[bucket + 1]
-        if a < b:
-            yield chunk, part, bucket, pack(values[a:b], None if checks is None else checks[a:b])
+    """The rows of one part of a chunk; values are sorted. checks: more bits of each number, which must be equal too.
+
+    A number that the part has several times is sent once, so no number, however frequent, has more entries than there
+    are parts. Only where equal numbers of a part have unequal checks are all of a bucket sent one by one.
+    """
+    buckets, at = cuts(values, bits, width)
+    for bucket, a, b in zip(buckets, at, at[1:]):
+        first = kinds(values[a:b])
+        if checks is not None and ((checks[a + 1 : b] != checks[a : b - 1]) & ~first[1:]).any():
+            first[:] = True
+        where = np.flatnonzero(first)
+        again = np.diff(where, append=b - a) > 1
+        yield chunk, part, bucket, pack(values[a:b][where], again, None if checks is None else checks[a:b][where])
 
 
 def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -78,38 +98,40 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _tied(group: pa.Table) -> pa.Table:
     blobs = [unpack(x.as_buffer().to_pybytes()) for x in group["blob"]]
-    values = np.concatenate([v for v, _ in blobs])
+    values, mark = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs])
     order = np.argsort(values)
     same = np.diff(values[order]) == 0
-    if blobs[0][1] is not None:
-        checks = np.concatenate([c for _, c in blobs])
+    if blobs[0][2] is not None:
+        checks = np.concatenate([b[2] for b in blobs])
         agree = np.diff(checks[order]) == 0
         if (same & ~agree).any():  # unequal strings with equal numbers: only now does the order by checks matter
             order = np.lexsort((checks, values))
             same, agree = np.diff(values[order]) == 0, np.diff(checks[order]) == 0
         same &= agree
-    mark = np.zeros(len(values), bool)
     mark[order[1:][same]] = mark[order[:-1][same]] = True
-    ends = np.cumsum([len(v) for v, _ in blobs])
+    ends = np.cumsum([len(b[0]) for b in blobs])
     keep, marks = [], []
     for i, own in enumerate(np.split(mark, ends[:-1])):
         if own.any():
             keep.append(i)
-            marks.append(np.packbits(own).tobytes())
+            marks.append(bytes([len(own) > 1 and not np.diff(blobs[i][0]).all()]) + np.packbits(own).tobytes())
     out = group.select(["chunk", "part", "bucket"]).take(pa.array(keep, pa.int64()))
     return pa.Table.from_arrays([*out.columns, pa.array(marks, pa.binary())], schema=SENT_ARROW)
 
 
 def ties(rows: DataFrame, bits: int, per_task: int = 4) -> DataFrame:
-    """rows: SENT. Of every bucket of every chunk part that has a number equal to another: SENT, with a bit per number, in order, as blob."""
+    """rows: SENT. Of every bucket of every chunk part that has a number equal to another: SENT, with a bit per number sent, in order, as blob, after a byte that is 1 if equal numbers were sent one by one."""
     tasks = max(1, (1 << bits) // per_task)
     return rows.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_tied, SENT)
 
 
 def marked(values: np.ndarray, bits: int, width: int, rows: list[tuple[int, bytes]]) -> np.ndarray:
     """The bits of one chunk part, by place in its sorted numbers. rows: bucket and blob."""
-    out, at = np.zeros(len(values), bool), cuts(values, bits, width)
-    for bucket, blob in rows:
-        a, b = at[bucket], at[bucket + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(blob, np.uint8), count=b - a).view(bool)
+    out, (buckets, at) = np.zeros(len(values), bool), cuts(values, bits, width)
+    told = dict(rows)
+    for bucket, a, b in zip(buckets, at, at[1:]):
+        if bucket in told:
+            kind = np.cumsum(kinds(values[a:b])) - 1
+            one_by_one, got = told[bucket][0], np.frombuffer(told[bucket], np.uint8)[1:]
+            out[a:b] = np.unpackbits(got, count=b - a).view(bool) if one_by_one else np.unpackbits(got, count=int(kind[-1]) + 1).view(bool)[kind]
     return out

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plotwright.llm import packed
-from plotwright.llm.common import dealt_documents, durable
+from plotwright.llm.common import dealt_documents, durable, join_hot, shared_dir
 
 LENGTH = 200
 #: Bytes of text in a chunk row (a longer document is a chunk of its own), in a bucket of the chunk table, and suffixes sorted at once.
@@ -24,8 +24,8 @@ CHUNK, TABLE_BUCKET, PART = 8 << 20, 16 << 20, 1 << 21
 SPARE = 12
 #: What a mark that goes back to its chunk is about.
 SAMPLE, SUFFIX, COPY = 0, 1, 2
-#: Odd, so that they have inverses modulo 2**64. The first gives the sort keys, the second 16 bits that must agree as well.
-BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
+#: Odd, so that it has an inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
 
 
 @lru_cache
@@ -36,7 +36,7 @@ def cover(r: int = 1) -> tuple[int, list[int]]:
 
 
 @lru_cache
-def tables(base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random number for each byte; powers of the base and of its inverse."""
 
     def powers(x: int) -> np.ndarray:
@@ -44,7 +44,7 @@ def tables(base: int = BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out[0] = 1
         return np.cumprod(out)
 
-    return np.random.default_rng(base % 1000).integers(0, 1 << 64, 256, np.uint64), powers(base), powers(pow(base, -1, 1 << 64))
+    return np.random.default_rng(BASE % 1000).integers(0, 1 << 64, 256, np.uint64), powers(BASE), powers(pow(BASE, -1, 1 << 64))
 
 
 class Chunk:
@@ -61,15 +61,15 @@ class Chunk:
         for part, start in enumerate(range(0, len(self.flat), PART)):
             yield part, start, min(PART, len(self.flat) - start)
 
-    def sums(self, start: int, n: int, base: int = BASE) -> np.ndarray:
+    def sums(self, start: int, n: int) -> np.ndarray:
         """Polynomial prefix sums over the part and what its last suffixes need beyond it."""
-        number, power, _ = tables(base)
+        number, power, _ = tables()
         b = self.flat[start : start + n + LENGTH]
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(number[b] * power[: len(b)])])
 
-    def hashes(self, sums: np.ndarray, at: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
+    def hashes(self, sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         """Of the strings of so many bytes from the places `at` in the part."""
-        return packed.mix((sums[at + length] - sums[at]) * tables(base)[2][at])
+        return packed.mix((sums[at + length] - sums[at]) * tables()[2][at])
 
     def places(self, start: int, n: int, length: int, sampled: bool) -> np.ndarray:
         """Places in the part from which `length` bytes lie in one document; only those of the cover if sampled (by place in the document)."""
@@ -102,9 +102,15 @@ class Chunk:
         order = np.argsort(key, kind="stable")
         return at[order], key[order]
 
-    def checks(self, start: int, n: int, at: np.ndarray) -> np.ndarray:
-        """16 more bits of the strings of LENGTH bytes, by another polynomial."""
-        return (self.hashes(self.sums(start, n, SECOND), at, LENGTH, SECOND) >> np.uint64(48)).astype(np.uint16)
+    def checks(self, start: int, at: np.ndarray) -> np.ndarray:
+        """16 more bits of the strings of LENGTH bytes, folded eight bytes at a time, so that no algebra of the sort keys carries over."""
+        eight = np.lib.stride_tricks.sliding_window_view(self.flat[start:], 8)
+        h = np.full(len(at), BASE, np.uint64)
+        for k in range(0, LENGTH, 8):
+            h ^= eight[at + k].view(np.uint64).ravel()
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            h ^= h >> np.uint64(32)
+        return (h >> np.uint64(16)).astype(np.uint16)
 
 
 def _rows(batches):
@@ -147,7 +153,7 @@ def _copies(chunks: DataFrame) -> DataFrame:
     rows = durable(chunks.groupBy("chunk").applyInArrow(_digests, "chunk long, part int, digest binary"))
     kinds = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("chunk", "part")).alias("first")).where("n > 1")
     first = (F.struct("chunk", "part") == F.col("first")).cast("int")
-    return rows.join(kinds, "digest").select("chunk", "part", first.alias("bucket"), F.lit(None).cast("binary").alias("blob"), F.lit(COPY).alias("phase"))
+    return join_hot(rows, kinds, "digest", "n", rows.count()).select("chunk", "part", first.alias("bucket"), F.lit(None).cast("binary").alias("blob"), F.lit(COPY).alias("phase"))
 
 
 def _told(group: pa.Table) -> dict[tuple[int, int], list[tuple[int, bytes]]]:
@@ -162,7 +168,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary) of every row of docs.
 
     A byte goes if a string of LENGTH bytes over it, within its document, also starts anywhere else. Null texts are
-    empty; shorter documents lose nothing; repeated rows lose all that they share. Strings are judged on the input.
+    empty; shorter documents lose nothing; repeated rows lose all that they share; a document of any length is a chunk of
+    its own at most. Strings are judged on the input. Only key and text are read, so other columns can't clash. An empty
+    table gives an empty one.
 
     1. Documents are written once as compressed chunks, in a table bucketed by chunk, so that no later step shuffles text.
        Of equal documents all bytes go, and only the first takes part in what follows, so copies cost nothing.
@@ -171,12 +179,23 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
        both, so both have a tied sample in reach.
     3. Only suffixes with a tied sample in reach are sorted, by the hash of LENGTH bytes and again bucket by bucket, so
        that a task holds one bucket. Order among unequal suffixes isn't needed, so a 64-bit hash stands for them; those
-       that tie must agree in 16 bits of a second hash as well.
+       that tie must agree in 16 bits of a second hash of another kind as well. A string that many places have is one
+       entry of each part that has it.
     4. Marks go back to their chunks, which take out what is covered.
     """
     spark = docs.sparkSession
+    own = f"plotwright_{uuid.uuid4().hex}"  # a database in the shared folder, for the one table
+    spark.sql(f"create database {own} location '{shared_dir(spark)}/{own}'")
+    try:
+        return _repeated(docs, f"{own}.chunks", key, text, with_kept)
+    finally:
+        spark.sql(f"drop database {own} cascade")
+
+
+def _repeated(docs: DataFrame, name: str, key: str, text: str, with_kept: bool) -> DataFrame:
+    """What repeated does, with the chunks in the table of that name."""
+    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 1
-    name = f"plotwright_chunks_{uuid.uuid4().hex}"
     tasks = max(1, -(-total // TABLE_BUCKET))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_rows, "chunk long, ids array<long>, lens array<long>, body binary")
     rows.write.bucketBy(tasks, "chunk").saveAsTable(name)
@@ -211,7 +230,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
         sent = []
         for part, start, n in c.parts():
             at, keys = c.suffixes(start, n, tied)
-            sent += packed.sent(chunk, part, keys, bits[1], 64, c.checks(start, n, at) if len(at) else None)
+            sent += packed.sent(chunk, part, keys, bits[1], 64, c.checks(start, at) if len(at) else None)
         return pa.Table.from_batches([packed.batch(sent)]) if sent else empty
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
@@ -249,9 +268,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
     suffixes = chunks.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(send_suffixes, packed.SENT)
     both = first.unionByName(packed.ties(suffixes, bits[1]).withColumn("phase", F.lit(SUFFIX)))
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    found = durable(chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(take_out, ddl))
-    spark.sql(f"drop table {name}")
-    return found
+    return durable(chunks.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(take_out, ddl))
 
 
 def op10_cover_suffixes(spark, sf_dir):

@@ -38,7 +38,8 @@ def fingerprint5(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def components5(docs):
+def roots5(docs):
+    """Fingerprint of each text and the smallest one that it reaches."""
     fps = [fingerprint5(t) for _, t in docs]
     distinct = sorted(set(fps))
     root = {f: f for f in distinct}
@@ -51,12 +52,17 @@ def components5(docs):
     for i, a in enumerate(distinct):
         for b in distinct[i + 1 :]:
             if (a ^ b).bit_count() <= 4:
-                root[find(a)] = find(b)
-    ids = {}
-    for (i, _), f in zip(docs, fps):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [(f, find(f)) for f in fps]
+
+
+def components5(docs):
+    roots, ids = roots5(docs), {}
+    for (i, _), (_, root) in zip(docs, roots):
         if i is not None:
-            ids[find(f)] = min(ids.get(find(f), i), i)
-    return [(i, f"{f:016x}", ids.get(find(f))) for (i, _), f in zip(docs, fps)]
+            ids[root] = min(ids.get(root, i), i)
+    return [(i, f"{f:016x}", ids.get(root)) for (i, _), (f, root) in zip(docs, roots)]
 
 
 def test_op5(spark, odd):
@@ -64,23 +70,57 @@ def test_op5(spark, odd):
     assert got(spark, "op5_ball_simhash", odd, "doc_id", "fingerprint", "component_id") == sorted(components5(docs), key=repr)
 
 
-def test_op5_links_of_distance_1_to_5(spark):
-    from plotwright.llm.components import components
-    from plotwright.llm.near_dedup import near_links
+def flipped(f, bits):
+    x = (f ^ sum(1 << int(b) for b in bits)) & (1 << 64) - 1
+    return x - (1 << 64) if x >> 63 else x
 
-    rng = np.random.default_rng(1)
-    fps = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 300)]
-    near = [f ^ sum(1 << int(b) for b in rng.choice(63, k, replace=False)) for k in (1, 2, 3, 4, 5) for f in fps[:20]]
-    every = sorted(set(fps + near))
-    links = near_links(spark.createDataFrame([(f,) for f in every], "fp long"))
-    roots = {r.node: r.root for r in components(links).collect()}
+
+def brute_roots(every):
+    """Smallest number reachable over pairs of four differing bits or fewer."""
     root = {f: f for f in every}
-    for i, a in enumerate(every):  # smallest label wins, until nothing changes
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, a in enumerate(every):
         for b in every[i + 1 :]:
             if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
-                x, y = sorted((root[a], root[b]))
-                root = {k: x if v == y else v for k, v in root.items()}
-    assert {f: roots.get(f, f) for f in every} == root
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {f: find(f) for f in every}
+
+
+def test_op5_links_of_distance_1_to_5(spark, monkeypatch):
+    """In one chunk and over many, with chains and a group of near fingerprints."""
+    from plotwright.llm import near_dedup
+
+    rng = np.random.default_rng(1)
+    fps = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 300)]
+    near = [flipped(f, rng.choice(64, k, replace=False)) for k in (1, 2, 3, 4, 5) for f in fps[:20]]
+    near += [flipped(fps[50], rng.choice(64, 2, replace=False)) for _ in range(150)]
+    every = sorted(set(fps + near))
+    rows = spark.createDataFrame([(f,) for f in every], "fp long")
+    for chunk in (2048, 40):
+        monkeypatch.setattr(near_dedup, "CHUNK", chunk)
+        roots = {r.fp: r.root for r in near_dedup.near_roots(rows).collect()}
+        assert {f: roots.get(f, f) for f in every} == brute_roots(every)
+
+
+def test_op5_links_grow_with_the_group(spark, monkeypatch):
+    """What is shuffled for a group of near fingerprints grows with the group, not with its pairs."""
+    from plotwright.llm import near_dedup
+
+    rng, seen = np.random.default_rng(8), []
+    real = near_dedup.components
+    monkeypatch.setattr(near_dedup, "CHUNK", 256)
+    monkeypatch.setattr(near_dedup, "components", lambda edges: seen.append(edges.count()) or real(edges))
+    for n in (600, 1200):
+        every = list({flipped(77, rng.choice(64, 2, replace=False)) for _ in range(4 * n)})[:n]
+        rows = spark.createDataFrame([(f,) for f in every], "fp long")
+        assert near_dedup.near_roots(rows).select("root").distinct().count() == 1
+    assert max(seen) <= 20
 
 
 def test_op2(spark, odd, odd_rows):
@@ -347,15 +387,36 @@ def test_packed_ties():
     from plotwright.llm import packed
 
     rng = np.random.default_rng(0)
-    for _ in range(100):
-        values = [np.sort(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(3)]
-        checks = [rng.integers(0, 3, len(v)).astype(np.uint16) for v in values]
+    for turn in range(200):
+        bits = int(rng.integers(0, 4))
+        values = [np.sort(rng.integers(0, 64, rng.integers(1, 30)).astype(np.uint64)) for _ in range(3)]
+        # Mostly the checks follow the value, as they do for equal strings; else equal numbers are sent one by one.
+        checks = [(v % 3 if turn % 2 else rng.integers(0, 3, len(v))).astype(np.uint16) for v in values]
         for use in (False, True):
-            blobs = [packed.pack(v, c if use else None) for v, c in zip(values, checks)]
-            assert all((packed.unpack(b)[0] == v).all() and (not use or (packed.unpack(b)[1] == c).all()) for b, v, c in zip(blobs, values, checks))
-            group = pa.table([pa.array([0, 1, 2], pa.int64()), pa.array([0] * 3, pa.int32()), pa.array([0] * 3, pa.int32()), pa.array(blobs, pa.binary())], schema=packed.SENT_ARROW)
+            rows = [r for i, (v, c) in enumerate(zip(values, checks)) for r in packed.sent(i, 0, v, bits, 6, c if use else None)]
+            told = {}
+            for bucket in {r[2] for r in rows}:
+                group = pa.Table.from_batches([packed.batch([r for r in rows if r[2] == bucket])])
+                for r in packed._tied(group).to_pylist():
+                    told.setdefault(r["chunk"], []).append((r["bucket"], r["blob"]))
             n = Counter((int(a), int(b) * use) for v, c in zip(values, checks) for a, b in zip(v, c))
-            told = {r["chunk"]: r["blob"] for r in packed._tied(group).to_pylist()}
             for i, (v, c) in enumerate(zip(values, checks)):
                 want = [n[int(a), int(b) * use] > 1 for a, b in zip(v, c)]
-                assert any(want) == (i in told) and (i not in told or np.unpackbits(np.frombuffer(told[i], np.uint8), count=len(v)).astype(bool).tolist() == want)
+                assert packed.marked(v, bits, 6, told.get(i, [])).tolist() == want
+
+
+def test_packed_sends_a_number_once():
+    from plotwright.llm import packed
+
+    (row,) = packed.sent(0, 0, np.full(100_000, 7, np.uint64), 0, 64)
+    assert len(row[3]) < 100 and packed.unpack(row[3])[1].tolist() == [True]
+
+
+def test_op10_leaves_no_table(spark, odd, monkeypatch):
+    from plotwright.llm import suffix_dedup
+
+    before = spark.sql("show databases").count()
+    monkeypatch.setattr(suffix_dedup, "_copies", lambda chunks: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        suffix_dedup.repeated(spark.read.parquet(f"{odd}/documents.parquet"))
+    assert spark.sql("show databases").count() == before
