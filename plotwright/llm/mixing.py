@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from plotwright.llm.common import durable, fresh
 #: A broadcast of rates is allowed up to this many table entries (8 bytes each); beyond it the join is salted.
 BROADCAST_ENTRIES = 1_000_000
 SALTS = 64
+#: A document with more copies than this is written in blocks of so many, which are shuffled before they are repeated.
+SPLIT = 4096
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -18,17 +22,49 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k from 0 up to a tail below 2**-52, as an array. Terms are summed through their logarithms, so large rates don't underflow."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
+def poisson_p(k: Column, rate: Column) -> Column:
+    """P(X = k). Small k by the definition; others by Stirling's series and the logarithm of rate / k near 1, which loses nothing where both are large."""
+    small = F.exp(k * F.ln(rate) - rate) / F.factorial(F.least(k, F.lit(20)).cast("int"))
+    stirling = (1 / 12 - (1 / 360 - F.lit(1 / 1260) / k / k) / k / k) / k
+    large = F.exp(k * F.log1p((rate - k) / k) - (rate - k) - stirling) / F.sqrt(F.lit(2 * math.pi) * k)
+    return F.coalesce(F.when(k == 0, F.exp(-rate)).when(k <= 20, small).otherwise(large), F.lit(0.0))
+
 
-    def step(acc, k):
-        log_p = acc["log_p"] + F.log(rate / k)
-        total = acc["sum"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("sum"), F.concat(acc["cdf"], F.array(total)).alias("cdf"))
+def poisson_tables(rates: DataFrame, of: str, rate: str) -> DataFrame:
+    """of, rate, low, step, ends: the distribution function of each rate from `low` on, at the end of every block of `step` numbers.
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"])
+    The numbers reach 12 deviations and 30 to both sides of the rate, beyond which less than 2**-52 lies. Blocks are an
+    eighth of a deviation long, so a table has 500 entries at most whatever the rate, and each of its blocks is summed in
+    a row of its own. The last entry is 1.
+    """
+    r = F.col(rate)
+    reach = 12 * F.sqrt(r) + 30
+    low, step = F.greatest(F.floor(r - reach), F.lit(0)).cast("long"), F.greatest(F.floor(F.sqrt(r) / 8), F.lit(1)).cast("long")
+    known = rates.select(of, rate, low.alias("low"), step.alias("step"), F.ceil((F.ceil(r + reach) - low + 1) / step).alias("blocks"))
+    each = known.select(of, rate, "low", "step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    k = F.col("low") + F.col("block") * F.col("step")
+    each = each.withColumn("first", k).withColumn("p", poisson_p(k, r))
+    add = lambda acc, i: F.struct((acc["p"] * F.col(rate) / (F.col("first") + i)).alias("p"), (acc["sum"] + acc["p"] * F.col(rate) / (F.col("first") + i)).alias("sum"))
+    mass = F.when(F.col("step") > 1, F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("step") - 1), F.struct(F.col("p").alias("p"), F.col("p").alias("sum")), add, lambda acc: acc["sum"])).otherwise(F.col("p"))
+    rows = each.groupBy(of, rate, "low", "step").agg(F.array_sort(F.collect_list(F.struct("block", mass.alias("mass")))).alias("masses"))
+    grow = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x["mass"]))
+    sums = rows.withColumn("sums", F.aggregate("masses", F.array().cast("array<double>"), grow))
+    whole = F.element_at("sums", -1)
+    return sums.select(of, rate, "low", "step", F.transform("sums", lambda x: x / whole).alias("ends"), whole.alias("whole"))
+
+
+def poisson_inverse(draw: Column, table: Column) -> Column:
+    """The smallest number whose distribution function reaches draw. table: a row of poisson_tables as struct(rate, low, step, ends, whole)."""
+    block = F.size(F.filter(table["ends"], lambda e: e < draw)).cast("long")
+    first = table["low"] + block * table["step"]
+    start = F.struct(poisson_p(first, table["rate"]).alias("p"), F.coalesce(F.try_element_at(table["ends"], F.nullif(block.cast("int"), F.lit(0))), F.lit(0.0)).alias("sum"), F.lit(0).cast("long").alias("n"))
+
+    def walk(acc, i):
+        total = acc["sum"] + acc["p"] / table["whole"]
+        return F.struct((acc["p"] * table["rate"] / (first + i + 1)).alias("p"), total.alias("sum"), (acc["n"] + (total < draw).cast("long")).alias("n"))
+
+    inside = F.aggregate(F.sequence(F.lit(0).cast("long"), table["step"] - 2), start, walk, lambda acc: acc["n"])
+    return F.when(table["step"] > 1, first + inside).otherwise(first)
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float = 1.0, epochs: float = 1.0, source: str = "source", text: str = "text") -> DataFrame:
@@ -50,22 +86,31 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: floa
     Every document is repeated as often as a Poisson variable with its source's rate says, whose uniform number is a
     hash of the seed and the key: the same document has the same count in every run, wherever it is computed. Rows with
     the same key have the same count; a null key, source or text counts as a value of its own (text: empty). Columns of
-    docs with the added names are replaced. An empty table gives an empty one.
+    docs with the added names (in any case of letters) are replaced. A text of any length is carried whole; ties of the
+    hash can't matter, since it orders copies only within a partition. A document with very many copies is dealt over
+    tasks in blocks. An empty table gives an empty one.
     """
-    docs = docs.drop(*[c for c in docs.columns if c in ("n_copies", "copy_no", "mix_key")])
-    of, cdf, draw, salt, part = (fresh(docs.columns, c) for c in ("__of", "__cdf", "__draw", "__salt", "__part"))
-    rates = source_rates(docs, weights, default_weight, epochs, source, text).select(F.col("__source").alias(of), poisson_cdf(F.col("__rate")).alias(cdf))
-    entries = rates.agg(F.sum(F.size(cdf))).first()[0] or 0
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_copies", "copy_no", "mix_key")])
+    of, table, draw, salt, part, block = (fresh(docs.columns, c) for c in ("__of", "__table", "__draw", "__salt", "__part", "__block"))
+    rates = source_rates(docs, weights, default_weight, epochs, source, text).select(F.col("__source").alias(of), F.col("__rate").alias("rate"))
+    tables = durable(poisson_tables(rates, of, "rate").select(of, F.struct("rate", "low", "step", "ends", "whole").alias(table)))
+    size = tables.agg(F.sum(F.size(f"{table}.ends")), F.max(F.col(f"{table}.low") + F.col(f"{table}.step") * F.size(f"{table}.ends"))).first()
     same = F.col(source).eqNullSafe(F.col(of))
-    if entries <= BROADCAST_ENTRIES:
-        joined = docs.join(F.broadcast(rates), same, "left")
+    if (size[0] or 0) <= BROADCAST_ENTRIES:
+        joined = docs.join(F.broadcast(tables), same, "left")
     else:
         spread = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int"))
-        rates = rates.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = spread.join(rates, same & (F.col(salt) == F.col(part)), "left").drop(salt, part)
-    copies = F.size(F.filter(F.col(cdf), lambda c: c < F.col(draw)))
-    out = joined.withColumn(draw, uniform(seed, F.col(key))).withColumn("n_copies", copies.cast("long")).where("n_copies > 0")
-    out = out.select(*docs.columns, "n_copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("copy_no"))
+        tables = tables.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = spread.join(tables, same & (F.col(salt) == F.col(part)), "left").drop(salt, part)
+    out = joined.withColumn(draw, uniform(seed, F.col(key))).withColumn("n_copies", poisson_inverse(F.col(draw), F.col(table))).where("n_copies > 0").select(*docs.columns, "n_copies")
+    one, n = F.lit(1).cast("long"), F.col("n_copies")
+    copies = lambda df, first, last: df.select(*docs.columns, "n_copies", F.explode(F.sequence(first, last)).alias("copy_no"))
+    if (size[1] or 0) <= SPLIT:  # no source's numbers get there
+        out = copies(out, one, n)
+    else:
+        blocks = out.where(n > SPLIT).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SPLIT))))
+        blocks = blocks.repartition(F.col(block), F.xxhash64(F.col(key)))
+        out = copies(out.where(n <= SPLIT), one, n).unionByName(copies(blocks, F.col(block) * SPLIT + 1, F.least(n, (F.col(block) + 1) * SPLIT)))
     out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
     # A hash decides the partition and the place in it, which permutes the whole corpus without a sampling pass.
     return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
