@@ -33,7 +33,8 @@ DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])*")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"[^A-Za-z0-9]{0,4}(?:no\.?|number)?[^A-Za-z0-9]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:no\.?|number|id|#))?[ :=#]{1,4}([A-Za-z]{0,3}[0-9](?:-?[A-Za-z0-9]){4,31})(?![A-Za-z0-9])")
-SECRET = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?([A-Za-z0-9_+/=.~-]{8,})""")
+BEFORE_SECRET = re.compile(r"""["']?\s{0,3}[:=]\s{0,3}["']?""")
+SECRET = re.compile(r"[A-Za-z0-9_+/=.~-]{8,}")
 LOGIN = re.compile(r"([^\s/?#@:\"'<>]{1,256}(?::[^\s/?#@\"'<>]{0,256})?)@[A-Za-z0-9-]")
 
 
@@ -61,6 +62,12 @@ def mod97(iban: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+def iban_size(found: str) -> int:
+    """Characters of the longest valid number at the start of found that ends there or before a space; 0 if none is."""
+    ends = [len(found), *(i for i in range(len(found) - 1, 0, -1) if found[i] == " ")]
+    return next((e for e in ends if mod97(found[:e])), 0)
+
+
 def octets(parts: list[str]) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in parts)
 
@@ -69,15 +76,17 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as in KINDS, then start; within a kind none overlap.
 
     Each anchor is expanded by the parser of its kind from where that kind's last match ended: so matches are those of a
-    leftmost, greedy, non-overlapping search, in time linear in the text. Matches that fail validation are dropped.
+    leftmost, greedy, non-overlapping search. Matches that fail validation are dropped. Parsers of numbers, logins and
+    accounts read a bounded stretch for an anchor, and no other reads a run twice, so the time is linear in the text.
     """
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys((*KINDS, "dotted"), 0)
+    dry = 0  # end of the last run of a secret's characters that has no digit: later cues in it have none either
 
-    def cue(kind: str, pattern: re.Pattern, start: int, ok) -> None:
-        if start >= done[kind] and (m := pattern.match(text, start)) and ok(m[1]):
-            out[kind].append(m.span(1))
-            done[kind] = m.end(1)
+    def cue(kind: str, pattern: re.Pattern, start: int, size) -> None:
+        if start >= done[kind] and (m := pattern.match(text, start)) and (n := size(m[1])):
+            out[kind].append((m.start(1), m.start(1) + n))
+            done[kind] = m.start(1) + n
 
     for last, (what, n) in automaton().iter(text):
         at = last - n + 1
@@ -108,13 +117,17 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                 if 8 <= sum(map(str.isdigit, m[0])) <= 15:
                     out["phone"].append(m.span())
         elif what == "://":
-            cue("login", LOGIN, last + 1, bool)
+            cue("login", LOGIN, last + 1, len)
         elif what == "iban":
-            cue("iban", IBAN, last + 1, mod97)
+            cue("iban", IBAN, last + 1, iban_size)
         elif what == "account":
-            cue("account", ACCOUNT, last + 1, lambda x: sum(map(str.isdigit, x)) >= 4)
-        else:
-            cue("secret", SECRET, last + 1, lambda x: any(map(str.isdigit, x)))
+            cue("account", ACCOUNT, last + 1, lambda x: len(x) if sum(map(str.isdigit, x)) >= 4 else 0)
+        elif last + 1 >= done["secret"] and (before := BEFORE_SECRET.match(text, last + 1)) and before.end() >= dry and (m := SECRET.match(text, before.end())):
+            if any(map(str.isdigit, m[0])):
+                out["secret"].append(m.span())
+                done["secret"] = m.end()
+            else:
+                dry = m.end()
     return [(k, a, b) for k in KINDS for a, b in out[k]]
 
 
@@ -133,7 +146,12 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined) of every row; a null text is empty. Other columns are left out."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans (kind:start:end, comma-joined) of every row.
+
+    A null text is empty; an empty text has no spans and the digest of the empty string; a null key is kept; repeated rows
+    give a row each; of a very long text every span is found, in linear time. Other columns are left out, so their names
+    can't clash. An empty table gives an empty one.
+    """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches):
@@ -150,7 +168,11 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with personal data replaced in `text`; null stays null, all other columns pass through."""
+    """docs with personal data replaced in `text` by its kind in brackets, overlapping spans by the first one's.
+
+    Null stays null and empty stays empty; rows keep their number, so repeated rows stay repeated; all other columns,
+    whatever their names, pass through. An empty table gives an empty one.
+    """
     at = docs.columns.index(text)
 
     def run(batches):
