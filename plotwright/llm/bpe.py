@@ -18,6 +18,8 @@ from plotwright.llm.common import dealt_documents
 NONE = np.int32(0x7FFFFFFF)
 #: Characters of text split at once; cells of a matrix; pieces that a worker remembers.
 SLICE, CELLS, MEMORY = 1 << 20, 1 << 18, 200_000
+#: Bytes of a piece from which its row is not copied in every round.
+LONG = 1024
 #: A vocabulary file goes to the executors whole, so its size is checked.
 LARGEST_FILE = 64 << 20
 #: White space as Unicode's property has it; the regex module counts four control characters more.
@@ -54,7 +56,8 @@ class Bpe:
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         self.ids_of = {}  # piece: its ids, as little-endian bytes
         pairs = {(self.rank[t[:k]], self.rank[t[k:]]): r for t, r in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank}
-        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        self.rank_of_pair = {a << 32 | b: r for (a, b), r in pairs.items()}
+        keys = np.array(list(self.rank_of_pair), np.int64)
         self.bits = max(8, (2 * len(keys)).bit_length())
         self.keys, self.ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
         left, slot, values = keys, self.slot(keys), np.array(list(pairs.values()), np.int32)
@@ -114,6 +117,37 @@ class Bpe:
                     ranks[ok, k[ok]] = self.pair_ranks(ids[ok, k[ok]], ids[ok, k[ok] + 1])
         return out
 
+    def merge_long(self, piece: bytes) -> bytes:
+        """Ids of one long piece, also by its leftmost pair of lowest rank in each round.
+
+        The row stays in place: a merged cell is dead (rank NONE) and its neighbours are linked, and the lowest rank of
+        each block of about sqrt(n) cells is kept, so a round costs about sqrt(n) steps of numpy's, not n.
+        """
+        n = len(piece)
+        first = self.single[np.frombuffer(piece, np.uint8)]
+        side = int(n**0.5) + 1
+        ranks = np.full((-(-n // side), side), NONE, np.int32)
+        flat = ranks.ravel()
+        flat[: n - 1] = self.pair_ranks(first[None, :-1], first[None, 1:])[0]
+        lowest, ids, rank_of = ranks.min(1), first.tolist(), self.rank_of_pair.get
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        while (low := int(lowest[block := int(lowest.argmin())])) != NONE:
+            at = block * side + int(ranks[block].argmin())
+            dead = after[at]
+            ids[at], after[at] = low, after[dead]
+            before[after[dead]], flat[dead] = at, NONE
+            left, right = before[at], after[at]
+            flat[at] = rank_of(low << 32 | ids[right], NONE) if right < n else NONE
+            if left >= 0:
+                flat[left] = rank_of(ids[left] << 32 | low, NONE)
+            for b in {left // side if left >= 0 else block, block, dead // side}:
+                lowest[b] = ranks[b].min()
+        out, at = [], 0
+        while at < n:
+            out.append(ids[at])
+            at = after[at]
+        return np.array(out, "<u4").tobytes()
+
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of new pieces into ids_of, a length bucket at a time."""
         buckets: dict[int, list[tuple[str, bytes]]] = {}
@@ -121,6 +155,8 @@ class Bpe:
             raw = piece.encode("utf-8", "surrogatepass")
             if (r := self.rank.get(raw)) is not None:
                 self.ids_of[piece] = r.to_bytes(4, "little")
+            elif len(raw) >= LONG:
+                self.ids_of[piece] = self.merge_long(raw)
             else:
                 n = len(raw)
                 step = max(2, 1 << max(0, n.bit_length() - 2))  # buckets up to a third wider than their shortest piece
@@ -173,7 +209,11 @@ def load(spark, path: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and token_ids (array<int>) of each row; a null text is empty and has no ids. No special tokens."""
+    """The columns `keep` and token_ids (array<int>) of each row, without special tokens.
+
+    A null text is empty and has no ids; repeated rows give a row each; columns outside `keep` are left out; an empty table
+    gives an empty one.
+    """
     file = load(docs.sparkSession, path)
     fields = [docs.schema[c] for c in keep]
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -193,7 +233,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: t
 
 
 def decode(coded: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
-    """coded with decoded (binary) for token_ids; with digests only n_tokens, ids_sha256 and decoded_sha256 instead of both."""
+    """coded with decoded (binary) for token_ids; with digests only n_tokens, ids_sha256 and decoded_sha256 instead of both.
+
+    No ids (an empty array) decode to nothing; all other columns pass through; an empty table gives an empty one.
+    """
     file = load(coded.sparkSession, path)
     keep = [c for c in coded.columns if c != "token_ids"]
     rows = coded.select(*keep, "token_ids")
@@ -221,7 +264,12 @@ def decode(coded: DataFrame, path: str, pattern: str, digests: bool = False) ->
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256 of each row: decode(encode(docs), digests=True) in one worker a task, without the ids leaving it."""
+    """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256 of each row: decode(encode(docs), digests=True) in one worker a task, without the ids leaving it.
+
+    A null text is empty; an empty text has no tokens and the digests of the empty string; null keys are kept; repeated
+    rows give a row each; a text of one endless piece takes time n * sqrt(n). Columns outside `keep` are left out; two names in
+    `keep` must not be those that are added. An empty table gives an empty one.
+    """
     file = load(docs.sparkSession, path)
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
     sha = lambda x: hashlib.sha256(x).hexdigest()
