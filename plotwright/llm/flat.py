@@ -52,14 +52,22 @@ class Flat:
         edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).view(np.int8)))
         return edge[::2], edge[1::2]
 
+    def strings(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> pa.Array:
+        """The strings between."""
+        b = LOWER[self.bytes] if lower else self.bytes
+        size = ends - starts
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        body = b[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], size)]
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+    def codes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A number for each of the strings between; two are equal if and only if the strings are."""
+        return self.strings(starts, ends).dictionary_encode().indices.to_numpy()
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of the strings between, equal for equal strings."""
+        """64-bit hashes of the strings between, for bins: equal for equal strings, but long strings can be made that differ and agree."""
         b = LOWER[self.bytes] if lower else self.bytes
         power, inverse = _powers(1 << max(21, len(b).bit_length()))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_numbers()[b] * power[: len(b)])])
         return mix((sums[ends] - sums[starts]) * inverse[starts])
 
-
-def word_hash(word: str, lower: bool = False) -> int:
-    flat = Flat(pa.array([word]))
-    return int(flat.hashes(flat.starts, flat.ends, lower)[0])
