@@ -1,5 +1,8 @@
+import math
+
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plotwright.llm import mixing, near_dedup
@@ -45,6 +48,60 @@ def test_op8(spark, odd, sf):
     same_as_sql(spark, "op8_perspective_rotation", odd, ["conversations"])
 
 
+def test_op1_any_rate(spark):
+    """The inverse against sums from zero, and at rates that no array could hold against the normal curve."""
+    from statistics import NormalDist
+
+    draws = [1e-9, 0.001, 0.1, 0.5, 0.77, 0.999]
+    rates = [0.0, 0.01, 0.7, 3.0, 57.3, 190.0, 250.0, 1e6, 1e9, 1e12]
+    tables = mixing.poisson_tables(spark.createDataFrame([(r,) for r in rates], "rate double").withColumn("of", F.col("rate")), "of", "rate")
+    tables = tables.select("of", F.struct("rate", "low", "step", "ends", "whole").alias("t"), F.explode(F.array(*map(F.lit, draws))).alias("u"))
+    for r in tables.select("of", "u", F.size("t.ends").alias("n"), mixing.poisson_inverse(F.col("u"), F.col("t")).alias("k")).collect():
+        z = NormalDist().inv_cdf(r.u)
+        if r.of <= 250:
+            k, total = 0, math.exp(-r.of)
+            while total < r.u:
+                k += 1
+                total += math.exp(k * math.log(r.of) - r.of - math.lgamma(k + 1))
+            assert r.k == k, r
+        else:
+            assert abs(r.k - (r.of + z * math.sqrt(r.of) + (z * z - 1) / 6)) < 2 + 1e-6 * math.sqrt(r.of), r
+        assert r.n <= 500
+
+
+def test_op1_many_copies_of_one_document(spark, monkeypatch):
+    """Blocks change nothing but where copies are made."""
+    docs = spark.createDataFrame([(1, "x", "small", "a"), (2, "y" * 900, "large", "b")], "doc_id long, text string, source string, COPY_NO string")
+    whole = sorted(map(tuple, mixing.mix_sources(docs, {}, epochs=3.0).select("doc_id", "n_copies", "copy_no", "mix_key").collect()))
+    monkeypatch.setattr(mixing, "SPLIT", 7)
+    assert sorted(map(tuple, mixing.mix_sources(docs, {}, epochs=3.0).select("doc_id", "n_copies", "copy_no", "mix_key").collect())) == whole
+    assert abs(len(whole) / 1353 - 1) < 0.15
+
+
+def test_op8_pieces(spark, odd, monkeypatch):
+    """Dialogues over many pieces, with a turn without a number, names that differ in signs alone, and parts."""
+    from plotwright.llm import chat
+
+    rows = [(1, i if i % 7 else i // 50, f"p {i % 3}" if i % 2 else f"p_{i % 3}", f"text {i} ü") for i in range(400)] + [(1, None, "é", "late"), (1, -3, "system", "first"), (None, 1, "p", "x")]
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.register("conversations", docs.toArrow())
+    want = sorted(map(repr, con.sql(ORACLES["op8_perspective_rotation"]).fetchall()))
+    monkeypatch.setattr(chat, "PIECE", 900)
+    found = chat.perspective_dialogues(docs)
+    assert sorted(map(repr, map(tuple, found.collect()))) == want and found.count() == 8
+    monkeypatch.setattr(chat, "PART", 3000)
+    parts = {}
+    for r in chat.perspective_dialogues(docs).orderBy("part").collect():
+        parts.setdefault((r.conv_id, r.perspective), []).append(r)
+    whole = {(r.conv_id, r.perspective): r for r in found.collect()}
+    assert len(parts[1, "é"]) > 3
+    for k, some in parts.items():
+        assert "".join(r.rendered for r in some) == whole[k].rendered and sum(r.n_turns for r in some) == whole[k].n_turns
+        own = lambda r: [r.rendered[int(a) : int(b)] for a, b in (x.split("-") for x in r.loss_spans.split(",") if x)]
+        assert [x for r in some for x in own(r)] == own(whole[k])
+
+
 def test_op8_spans_hold_the_own_turns(spark, odd):
     rows = QUERIES["op8_perspective_rotation"](spark, odd).where("conv_id = 1").collect()
     assert {r.perspective for r in rows} == {"ann", "bob", "unknown"}

@@ -179,6 +179,35 @@ def test_op3(spark, odd):
     assert not any(r.kept and r.base_failed for r in rows) and any(r.kept for r in rows)
 
 
+def thue_morse(n, letters="ab"):
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+def test_op3_counts_compare_bytes():
+    """Strings that polynomial hashes modulo a power of two can't tell apart."""
+    import pyarrow as pa
+
+    from plotwright.llm.quality_rules import base_counts
+
+    words = lambda letters: " ".join("".join(thue_morse(1024, letters)[i : i + 128]) for i in range(0, 1024, 128))
+    texts = [f"{thue_morse(n)}\n{thue_morse(n, 'ba')}" for n in (1024, 2048)] + [f"{words('ab')} x {words('ba')}", f"{words('ab')} x {words('ab')}", "\n\na\n \na \na", ""]
+    got_ = list(zip(*(c.tolist() for c in base_counts(pa.array(texts)))))
+    assert [g[:1] + g[3:] for g in got_] == [(q[0], q[3], q[4]) for q in map(quality3, texts)]
+
+
+def test_op3_windows_with_equal_hashes(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from plotwright.llm import quality_rules
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    monkeypatch.setattr(quality_rules, "mix", lambda x: x % np.uint64(5))
+    assert quality_rules.base_counts(pa.array(texts))[4].tolist() == [quality3(t)[4] for t in texts]
+
+
 def test_op3_model():
     """Probabilities of a context sum to 1; the hash arrays give what the formula gives."""
     from plotwright.llm import quality_rules as q
@@ -259,6 +288,27 @@ def test_op4_random_texts():
         assert [s for s in pii.spans(t) if s[0] in pii.BASE] == base4(t), t
 
 
+@pytest.mark.parametrize("bit", [*(f"{c}={c}:" for cues in pii.CUES.values() for c in cues), "token=", "iban DE89 ", "account 12", "http://", "http://a:b", "a@b.", "+1(", "1.", "4111 ", "@", "+", "1"])
+def test_op4_linear_time(bit):
+    """A megabyte of every anchor takes seconds."""
+    import time
+
+    start = time.perf_counter()
+    pii.spans(bit * (1_000_000 // len(bit)))
+    assert time.perf_counter() - start < 20
+
+
+def test_op4_secret_after_a_dry_run():
+    found = lambda t: [t[a:b] for k, a, b in pii.spans(t) if k == "secret"]
+    assert found("token=xxsecret= abc12345") == ["abc12345"]
+    assert found("token=token=token=abcdefgh") == [] and found("token=token=abcdefg1 secret: 12345678") == ["token=abcdefg1", "12345678"]
+
+
+def test_op4_iban_before_further_words():
+    t = "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX"
+    assert [t[a:b] for k, a, b in pii.spans(t) if k == "iban"] == ["DE89 3704 0044 0532 0130 00"]
+
+
 def test_op4_added_kinds_and_mask(spark, odd):
     t = 'token = "04dbebab91ab85687d" iban DE89370400440532013000 account no: 12345678 http://bob:pw@h.example/'
     assert [t[a:b] for k, a, b in pii.spans(t) if k not in pii.BASE] == ["DE89370400440532013000", "12345678", "04dbebab91ab85687d", "bob:pw"]
@@ -299,6 +349,25 @@ def test_op6_white_space_and_scripts():
         assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t), repr(t)
 
 
+def test_op6_long_pieces():
+    """Pieces beyond the matrix as the library has them, and a megabyte without white space in seconds."""
+    import base64
+    import random
+    import time
+
+    path, pattern = bpe.public_vocabulary()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    own, rng = bpe.Bpe(open(path, "rb").read(), pattern), random.Random(6)
+    letters = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    texts = [letters[:n] for n in (1023, 1024, 1025, 5000)] + ["a" * 5000, "ab" * 3000, "é" * 2000, "the" * 1500, "=" * 4000]
+    for t, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t)
+    start = time.perf_counter()
+    (ids,) = own.encode([letters])
+    assert time.perf_counter() - start < 60 and own.decode(np.frombuffer(ids, "<u4")) == letters.encode()
+
+
 def test_op9(spark, odd):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     want = []
@@ -309,11 +378,10 @@ def test_op9(spark, odd):
             found = [j for j in range(len(w) - len(k) + 1) if w[j : j + len(k)] == k]
             places += found
             base |= {label} if found else set()
-        half = licenses.BLOCK // 2
-        for b in range(0, max(1, len(w)), half):
-            block = set(w[b : b + licenses.BLOCK])
-            for label, notice in licenses.TEMPLATES.items():
-                n = set(notice.split())
+        for label, notice in licenses.TEMPLATES.items():
+            size, n = licenses.block_words(notice), set(notice.split())
+            for b in range(0, max(1, len(w)), size // 2):
+                block = set(w[b : b + size])
                 if len(n & block) >= licenses.THRESHOLD * len(n) - 1e-9:
                     labels.add(label)
                     best = max(best, len(n & block) / len(n))
@@ -322,6 +390,36 @@ def test_op9(spark, odd):
     assert got(spark, "op9_set_join", odd, *columns) == sorted(want, key=repr)
 
 
+def test_op9_templates_of_any_length(spark):
+    """A table of templates from three words to 900; notices at every place of a text, whole and with words changed."""
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5)))
+    sizes = (3, 7, 30, 64, 65, 200, 900)
+    templates = {f"t{n}": " ".join(word() for _ in range(n)) for n in sizes}
+    rows = []
+    for n in sizes:
+        for changed in (0, n // 20, n // 5):
+            notice = templates[f"t{n}"].split()
+            for k in rng.sample(range(n), changed):
+                notice[k] = "zzz"
+            fill = [word() for _ in range(rng.randint(0, 700))]
+            rows.append((len(rows), " ".join([*fill, *notice, *(word() for _ in range(50))])))
+    rows.append((len(rows), None))
+    table = spark.createDataFrame([(k, v.upper() + ".") for k, v in templates.items()] + [(None, "x"), ("empty", " ")], "label string, text string")
+    found = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {}, table).collect()}
+    for i, t in rows:
+        w, want = (t or "").split(), {}
+        for label, body in templates.items():
+            size, n = licenses.block_words(body), set(body.split())
+            share = max(len(n & set(w[b : b + size])) / len(n) for b in range(0, max(1, len(w)), size // 2))
+            if share >= licenses.THRESHOLD - 1e-9:
+                want[label] = share
+        assert found[i] == (",".join(sorted(want)), max(want.values(), default=0.0)), i
+        assert i >= 21 or i % 3 == 2 or f"t{sizes[i // 3]}" in want
+
+
 def test_op10(spark, odd):
     docs = documents(spark, odd)
     count = Counter(t.encode()[k : k + 200] for _, t in docs for k in range(len(t.encode()) - 199))
