@@ -7,17 +7,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plotwright.llm.bpe import slices
-from plotwright.llm.common import dealt_documents
+from plotwright.llm.common import dealt_documents, durable
 from plotwright.llm.flat import Flat
 from plotwright.llm.licenses import WORD
 from plotwright.llm.quality_rules import base_counts
 
-#: Rows that the views are fitted on: so many labelled ones and so many without a label, those with the smallest hashes of their doc_id. All rows are scored.
-LABELLED, UNLABELLED = 8000, 4000
+#: The views are fitted on so many labelled rows, those with the smallest hashes of their doc_id. Pseudo-labels come from all rows without a label, and all rows are scored.
+LABELLED = 8000
+#: In each round a view gives the other its EACH surest guesses of either class, if they are CONFIDENT.
 ROUNDS, CONFIDENT, EACH = 4, 0.97, 400
 WORD_BITS, BINS, META_BITS = 15, 10, 10
 STEPS = 150
@@ -135,69 +136,118 @@ def text_rows(key, distinct, shapes, edges):
     return row, np.concatenate([key & ((1 << WORD_BITS) - 1), bins.ravel()]), val
 
 
+def unpacked(bins: pa.Array, shapes: pa.Array, meta: pa.Array):
+    """What words_and_shapes and metadata gave, from the columns of features."""
+    bytes_of = lambda x: b"".join(x.to_pylist())
+    distinct = pc.binary_length(bins).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    key = np.repeat(np.arange(len(distinct)), distinct) << WORD_BITS | np.frombuffer(bytes_of(bins), np.uint16)
+    return (key, distinct, np.frombuffer(bytes_of(shapes), np.float64).reshape(-1, len(SHAPES))), np.frombuffer(bytes_of(meta), np.int16).reshape(-1, 4).astype(np.int64)
+
+
 def meta_rows(bins):
     n, k = bins.shape
     return np.repeat(np.arange(n), k), bins.ravel(), np.full(n * k, 0.5)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str):
-    """The rows to fit on, as arrow with label (1 good, 0 bad, null unknown); both parts are bounded."""
-    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null")
-    h = F.xxhash64("__id")
-    some = known.select(F.col("doc_id").alias("__id"), good.alias("__y")).orderBy(F.xxhash64("doc_id"), "doc_id", "__y").limit(LABELLED)
-    none = docs.select(F.col(key).alias("__id")).join(known.select(F.col("doc_id").alias("__id")), "__id", "left_anti").orderBy(h, "__id").limit(UNLABELLED)
-    ids = some.unionByName(none.withColumn("__y", F.lit(None).cast("int"))).dropDuplicates(["__id"])
-    texts = docs.select(F.col(key).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("__text"), F.col("source").cast("string").alias("__s"), F.col("lang").cast("string").alias("__l"), F.col("n_chars").cast("long").alias("__n"))
-    rows = texts.join(F.broadcast(ids), "__id").select("__id", "__y", "__text", "__s", "__l", "__n")
+def features(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """id, kind (a hash of text and metadata), bins, shapes and meta of every row."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(body, "source", "lang", "n_chars").alias("kind"), body.alias("__text"), F.col("source").cast("string").alias("__s"), F.col("lang").cast("string").alias("__l"), F.col("n_chars").cast("long").alias("__n"))
 
     def run(batches):
         for b in batches:
             for i, j in slices(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False), SLICE):
-                key_, distinct, shapes = words_and_shapes(b.column(2)[i:j])
+                key_, _, shapes = words_and_shapes(b.column(2)[i:j])
                 cut = np.searchsorted(key_, np.arange(1, j - i) << WORD_BITS)
-                bins = np.split((key_ & ((1 << WORD_BITS) - 1)).astype(np.int32), cut)
-                meta = metadata(*(b.column(k)[i:j].to_pylist() for k in (3, 4, 5)))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], pa.array([x.tobytes() for x in bins], pa.binary()), pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["id", "y", "bins", "shapes", "meta"])
+                bins = np.split((key_ & ((1 << WORD_BITS) - 1)).astype(np.uint16), cut)
+                meta = metadata(*(b.column(k)[i:j].to_pylist() for k in (3, 4, 5))).astype(np.int16)
+                packed = [pa.array([x.tobytes() for x in of], pa.binary()) for of in (bins, shapes, meta)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], b.column(1)[i:j], *packed], names=["id", "kind", "bins", "shapes", "meta"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, kind long, bins binary, shapes binary, meta binary")
+
+
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with y: 1 good, 0 bad (of several labels of an id: the worst), null unknown. Null ids are salted, as many rows may have none."""
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("__k")).agg(F.min(good).alias("y"))
+    key = F.when(F.col("id").isNull(), F.concat(F.lit("n"), F.pmod("kind", F.lit(1024)).cast("string"))).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
+    return rows.withColumn("__k", key).join(known, "__k", "left").drop("__k")
 
-    kind = rows.schema["__id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, y int, bins binary, shapes binary, meta binary").orderBy(F.xxhash64("id"), "id").toArrow()
+
+def surest(rows: DataFrame, views: dict[str, View], edges: np.ndarray, taught: dict[str, np.ndarray], each: int) -> list[tuple[str, float, int]]:
+    """(view that learns, value, kind) of the other view's surest guesses among all unlabelled rows: `each` of either class, the surest first, ties by kind.
+
+    Equal rows are one kind. taught: kinds that a view has learnt already. Every task sends its own best.
+    """
+    names = list(views)
+
+    def run(batches):
+        for b in batches:
+            rows_, bins = unpacked(b.column(1), b.column(2), b.column(3))
+            n, kind = b.num_rows, b.column(0).to_numpy()
+            sparse = {"text": text_rows(*rows_, edges), "meta": meta_rows(bins)}
+            for k, (mine, other) in enumerate((names, names[::-1])):
+                p = sigmoid(views[mine].logit(views[mine].raw(*sparse[mine], n)))
+                for value, sure in ((1, p), (0, 1 - p)):
+                    at = np.flatnonzero((sure >= CONFIDENT) & ~np.isin(kind, taught[other]))
+                    at = at[np.lexsort((kind[at], -sure[at]))]
+                    at = at[np.sort(np.unique(kind[at], return_index=True)[1])][:each]
+                    yield pa.RecordBatch.from_pydict({"learner": pa.array([1 - k] * len(at), pa.int32()), "value": pa.array([value] * len(at), pa.int32()), "sure": pa.array(sure[at]), "kind": pa.array(kind[at], pa.int64())})
+
+    told = rows.where("y is null").select("kind", "bins", "shapes", "meta").mapInArrow(run, "learner int, value int, sure double, kind long")
+    told = told.groupBy("learner", "value", "kind").agg(F.max("sure").alias("sure"))
+    # Tasks cut their rows to the first `each` before the shuffle.
+    first = F.row_number().over(Window.partitionBy("learner", "value").orderBy(F.desc("sure"), "kind"))
+    best = told.withColumn("k", first).where(F.col("k") <= each).collect()
+    return sorted((names[r["learner"]], float(r["value"]), r["kind"]) for r in best)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
-    """The views after ROUNDS of exchange, calibrated and blended on a fifth of the labelled rows, which neither view learns from. None where the labels don't have both classes."""
-    got = sample(docs, labels, key, text)
-    y = np.array([np.nan if v is None else v for v in got["y"].to_pylist()])
-    n = len(y)
-    known = ~np.isnan(y)
-    held = known & (np.arange(n) % 5 == 0)
-    if min((y[known & ~held] == 1).sum(), (y[known & ~held] == 0).sum(), (y[held] == 1).sum(), (y[held] == 0).sum()) < 1:
+    """The views after ROUNDS of exchange, calibrated and blended on a fifth of the labelled rows; another fifth only gives the figures held_out. None where the labels don't have both classes.
+
+    Features of all rows are computed once and kept; each round then scores all rows without a label and brings the
+    picked ones (4 * EACH at most) to the driver. An id with several labels has the worst, one with several rows that of
+    the smallest kind. Null ids, and labels without an id or a value, are no labels.
+    """
+    rows = durable(labelled(features(docs, key, text), labels))
+    some = rows.where("y is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(LABELLED)
+    one = F.min(F.struct("kind", "y", "bins", "shapes", "meta")).alias("r")
+    got = rows.where("y is not null").join(F.broadcast(some), "id").groupBy("id").agg(one).orderBy(F.xxhash64("id"), "id").select("r.*").toArrow()
+    y = np.array(got["y"].to_pylist(), float)
+    part = np.where(np.arange(len(y)) % 5 < 2, np.arange(len(y)) % 5, 2)  # 0 calibrates, 1 tests, 2 teaches
+    if min(((part == k) & (y == v)).sum() for k in (0, 2) for v in (0, 1)) < 1:
         return None
-    bins = [np.frombuffer(x, np.int32).astype(np.int64) for x in got["bins"].to_pylist()]
-    shapes = np.stack([np.frombuffer(x, np.float64) for x in got["shapes"].to_pylist()])
-    meta = np.stack([np.frombuffer(x, np.int64) for x in got["meta"].to_pylist()])
-    distinct = np.array(list(map(len, bins)))
-    keys = np.repeat(np.arange(n), distinct) << WORD_BITS | (np.concatenate(bins) if len(bins) else np.empty(0, np.int64))
-    edges = np.quantile(shapes[known], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
-    rows = {"text": text_rows(keys, distinct, shapes, edges), "meta": meta_rows(meta)}
+    edges = np.quantile(unpacked(*(got[c] for c in ("bins", "shapes", "meta")))[0][2], np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T
     views = {"text": View((1 << WORD_BITS) + len(SHAPES) * BINS), "meta": View(1 << META_BITS)}
-    taught = {k: np.where(held, np.nan, y) for k in views}
+    of_kind: dict[int, int] = {}  # rows beyond the labelled ones, by kind
+    taught: dict[str, dict[int, float]] = {k: {} for k in views}
+    table = got
     for turn in range(ROUNDS):
-        said = {}
+        words, meta = unpacked(*(table[c] for c in ("bins", "shapes", "meta")))
+        sparse, n = {"text": text_rows(*words, edges), "meta": meta_rows(meta)}, table.num_rows
         for k, view in views.items():
-            view.fit(*rows[k], np.nan_to_num(taught[k]), ~np.isnan(taught[k]))
-            raw = view.raw(*rows[k], n)
-            view.calibrate(raw[held], y[held])
-            said[k] = sigmoid(view.logit(raw))
-        if turn < ROUNDS - 1:  # each view's surest guesses about unlabelled rows teach the other
-            for mine, other in (("text", "meta"), ("meta", "text")):
-                for sure, value in ((said[mine], 1.0), (1 - said[mine], 0.0)):
-                    open_ = np.flatnonzero(~known & np.isnan(taught[other]) & (sure >= CONFIDENT))
-                    taught[other][open_[np.argsort(-sure[open_], kind="stable")[:EACH]]] = value
-    logits = np.stack([*(v.logit(v.raw(*rows[k], n)) for k, v in views.items()), np.ones(n)], 1)
-    blend = platt(logits[held], y[held])
-    p = sigmoid(logits[held] @ blend)
-    told = {"rows": int(held.sum()), "good_kept": float((p[y[held] == 1] >= THRESHOLD).mean()), "bad_rejected": float((p[y[held] == 0] < THRESHOLD).mean()), "pseudo": int(sum((~np.isnan(taught[k]) & ~known).sum() for k in views))}
+            target, use = np.zeros(n), np.zeros(n, bool)
+            target[: len(y)], use[: len(y)] = y, part == 2
+            for kind, value in taught[k].items():
+                target[of_kind[kind]], use[of_kind[kind]] = value, True
+            view.fit(*sparse[k], target, use)
+            view.calibrate(view.raw(*sparse[k], n)[: len(y)][part == 0], y[part == 0])
+        if turn < ROUNDS - 1:
+            picked = surest(rows, views, edges, {k: np.array(sorted(v), np.int64) for k, v in taught.items()}, EACH)
+            new = sorted({kind for _, _, kind in picked} - of_kind.keys())
+            if new:
+                wanted = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in new], "kind long"))
+                found = rows.where("y is null").join(wanted, "kind").groupBy("kind").agg(F.min(F.struct("bins", "shapes", "meta")).alias("r")).orderBy("kind").select("kind", F.lit(None).cast("int").alias("y"), "r.*").toArrow()
+                of_kind |= {kind: table.num_rows + i for i, kind in enumerate(found["kind"].to_pylist())}
+                table = pa.concat_tables([table, found.cast(table.schema)])
+            for learner, value, kind in picked:
+                taught[learner][kind] = value
+    logits = np.stack([*(v.logit(v.raw(*sparse[k], n))[: len(y)] for k, v in views.items()), np.ones(len(y))], 1)
+    blend = platt(logits[part == 0], y[part == 0])
+    p, test = sigmoid(logits @ blend), part == 1
+    share = lambda hit, of: float(hit[of].mean()) if of.any() else float("nan")
+    told = {"rows": int(test.sum()), "good_kept": share(p >= THRESHOLD, test & (y == 1)), "bad_rejected": share(p < THRESHOLD, test & (y == 0)), "pseudo": sum(map(len, taught.values()))}
     return Model(views["text"], views["meta"], edges, blend, told)
 
 
@@ -209,7 +259,11 @@ def _scores(model: Model | None, texts, source, lang, n_chars):
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, p_text, p_meta, score and kept of every row; without a model all are kept with probability 1. A null text is empty; equal rows have equal scores."""
+    """doc_id, p_text, p_meta, score and kept of every row; without a model all are kept with probability 1.
+
+    A null text is empty; null ids, sources, languages and lengths are values; equal rows have equal scores, a row each; texts
+    of any length are read whole. Other columns are left out, so their names can't clash. An empty table gives an empty one.
+    """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("l"), F.col("n_chars").cast("long").alias("n"))
 
     def run(batches):
@@ -223,7 +277,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
 
 def keep_good(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model keeps."""
+    """The rows of docs, with all their columns whatever their names, that the model keeps; nulls and odd texts as in score. Without a model, all."""
     at = {c: docs.columns.index(c) for c in (text, "source", "lang", "n_chars")}
 
     def run(batches):
