@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import documents, durable, words_of
+from plotwright.llm.common import documents, durable, join_hot, words_of
 from plotwright.llm.simhash import differing, hex16, majority, votes
 
 #: Longer terms say more about a text; a term weighs its first word's code points, up to this many.
@@ -34,46 +35,63 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     return out.select(*keys, majority(F.coalesce(F.col("__total"), F.lit(0))).alias("fp"))
 
 
-def range_bounds(docs: DataFrame, key: Column, text: str) -> list[int]:
-    """Existing keys that part docs into ranges of about equal row counts, the smallest key first."""
-    size = docs.agg(F.min(key), F.sum(F.octet_length(F.coalesce(F.col(text), F.lit(""))))).first()
+LOWEST = -(1 << 63)
+
+
+def range_bounds(base: DataFrame) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of __key and __tie that part base into ranges of about equal row counts, the smallest first, and whether each is the pair of a row (else its key is that of a row and its tie is the lowest).
+
+    A key that fills several ranges (many rows of one doc_id, or without one) is parted by tie.
+    """
+    size = base.agg(F.min("__key"), F.sum(F.octet_length("__text"))).first()
     if size[0] is None:
-        return []
+        return [], False
     parts = min(RANGES, 1 + size[1] // RANGE_BYTES)
     if parts == 1:
-        return [size[0]]
-    inner = docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts)).first()[0]
-    return sorted({size[0], *inner})
+        return [(size[0], LOWEST)], False
+    inner = Counter(base.agg(F.percentile_approx("__key", [i / parts for i in range(1, parts)], 20 * parts)).first()[0])
+    bounds = sorted({(size[0], LOWEST)} | {(k, LOWEST + (i << 64) // m) for k, m in inner.items() for i in range(m)})
+    if max(inner.values()) == 1:
+        return bounds, False
+    # The first row of each range that has one; so many pairs come to the driver.
+    first = base.groupBy(range_of(bounds).alias("b")).agg(F.min(F.struct("__key", "__tie")).alias("k")).select("k.*").collect()
+    return sorted(map(tuple, first)), True
+
+
+def range_of(bounds: list[tuple[int, int]]) -> Column:
+    """Number of the range of a row; in two steps of sqrt(n) comparisons if there are many."""
+    listed = lambda xs: F.split(F.lit(",".join(f"{k} {t}" for k, t in xs)), ",")
+    at = lambda x, i: F.split(x, " ")[i].cast("long")
+    pairs = lambda xs: F.transform(xs, lambda x: F.struct(at(x, 0).alias("k"), at(x, 1).alias("t")))
+    upto = lambda xs: F.size(F.filter(xs, lambda b: (b["k"] < F.col("__key")) | ((b["k"] == F.col("__key")) & (b["t"] <= F.col("__tie")))))
+    if len(bounds) < 64:
+        return (upto(pairs(listed(bounds or [(0, 0)]))) - 1).cast("int")
+    side = int(len(bounds) ** 0.5) + 1
+    runs = [bounds[i : i + side] for i in range(0, len(bounds), side)]
+    nested = F.split(F.lit(";".join(",".join(f"{k} {t}" for k, t in r) for r in runs)), ";")
+    coarse = upto(pairs(listed([r[0] for r in runs]))) - 1
+    return (coarse * side + upto(pairs(F.split(nested[coarse], ","))) - 1).cast("int")
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of docs with the text of the next row by key (after the last: the first), as columns __id, __text, __next, __bucket, __row, __tail.
 
-    Texts are shuffled once, by key range; the first row of each range is also sent to the range before it (__tail 1).
-    Equal keys stand by a hash of their text; a null key stands before all others. An only row is its own next.
+    Texts are shuffled once, by range of key and tie; the first row of each range is also sent to the range before it
+    (__tail 1). Equal keys stand by a hash of their text; a null key stands before all others. An only row is its own next.
     """
-    k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    base = docs.select(F.col(key).alias("__id"), k.alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    bounds = range_bounds(docs, k, text)
+    k = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
+    body = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select(F.col(key).alias("__id"), k.alias("__key"), body.alias("__text"), F.xxhash64(body).alias("__tie"))
+    bounds, exact = range_bounds(base)
     n = max(1, len(bounds))
-    side = int(n**0.5) + 1
-    listed = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    within = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col("__key")))
-    if len(bounds) < 64:
-        bucket = within(listed(bounds or [0])) - 1
-    else:  # two steps of sqrt(n) comparisons
-        runs = [bounds[i : i + side] for i in range(0, n, side)]
-        nested = F.split(F.lit(";".join(",".join(map(str, r)) for r in runs)), ";")
-        coarse = within(listed([r[0] for r in runs])) - 1
-        bucket = coarse * side + within(F.transform(nested, lambda s: F.split(s, ",").cast("array<bigint>"))[coarse]) - 1
-    base = base.withColumn("__bucket", bucket.cast("int"))
-    first = listed(bounds or [0])[F.col("__bucket")] == F.col("__key")
+    base = base.withColumn("__bucket", range_of(bounds))
+    starts = F.split(F.split(F.lit(",".join(f"{k} {t}" for k, t in bounds or [(0, 0)])), ",")[F.col("__bucket")], " ")
+    first = (starts[0].cast("long") == F.col("__key")) & (F.lit(not exact) | (starts[1].cast("long") == F.col("__tie")))
     own = F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("t"))
     before = F.struct(F.pmod(F.col("__bucket") - 1, F.lit(n)).cast("int").alias("b"), F.lit(1).alias("t"))
     sent = base.withColumn("__to", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
-    sent = sent.select("__id", "__key", "__text", F.col("__to.b").alias("__bucket"), F.col("__to.t").alias("__tail"))
+    sent = sent.select("__id", "__key", "__tie", "__text", F.col("__to.b").alias("__bucket"), F.col("__to.t").alias("__tail"))
     order = Window.partitionBy("__bucket").orderBy("__tail", "__key", "__tie")
-    sent = sent.withColumn("__tie", F.xxhash64("__text"))
     return sent.withColumn("__next", F.coalesce(F.lead("__text").over(order), F.lit(""))).withColumn("__row", F.row_number().over(order))
 
 
@@ -81,7 +99,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, n_chars, edited_sha256, fp, edited_fp, near_edited and near_next of every row.
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the next
-    document's. Nulls, ties and repeated rows: see with_next and fingerprints.
+    document's. Nulls, ties and repeated rows: see with_next and fingerprints. Texts of any length are read whole. Only key
+    and text are read, so other columns can't clash. An empty table gives an empty one.
     """
     both = with_next(docs, key, text)
     n = F.char_length("__text")
@@ -148,7 +167,7 @@ def op2_simhash_tables(spark, sf_dir):
     pairs = near_pairs(classes)
     links = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
     known = classes.join(links, "fp", "left").select("fp", "class_id", "n_class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(known, "fp").select(
+    return join_hot(rows, known.withColumn("n", F.col("n_class")), "fp", "n", rows.count()).select(
         "doc_id", "n_chars", "edited_sha256", hex16(F.col("fp")).alias("fingerprint"), hex16(F.col("edited_fp")).alias("edited_fingerprint"),
         "near_edited", "near_next", "class_id", "n_class", "n_links",
     )

@@ -150,6 +150,44 @@ def test_op2(spark, odd, odd_rows):
         assert r.n_class == sum(x.fingerprint == r.fingerprint for x in rows)
 
 
+def fingerprint2(text):
+    """Weighted votes of word pairs, by loops."""
+    words = WORD.findall(text)
+    votes, total = [0] * 64, 0
+    for a, b in zip(words, [*words[1:], None]):
+        weight, h = min(len(a), 16), xxhash.xxh64_intdigest(a.encode(), 42)
+        h = h if b is None else xxhash.xxh64_intdigest(b.encode(), h)  # the hash of several columns: each one's seeds the next
+        total += weight
+        for i in range(64):
+            votes[i] += weight * (h >> i & 1)
+    return sum(1 << i for i in range(64) if 2 * votes[i] > total)
+
+
+def test_op2_fingerprints(spark, odd):
+    want = sorted(((i, f"{fingerprint2(t):016x}") for i, t in documents(spark, odd)), key=repr)
+    assert got(spark, "op2_simhash_tables", odd, "doc_id", "fingerprint") == want
+
+
+def test_op2_next_over_many_ranges(spark, monkeypatch):
+    """Every row's next one, with a doc_id that fills many ranges, one without, and single ones."""
+    import random
+
+    from plotwright.llm import fingerprints
+
+    rng = random.Random(2)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 500)
+    rows = [(rng.choice([7, 7, 7, None, rng.randint(0, 1000)]), f"text {i} " * 4) for i in range(400)]
+    rows += [(5000 + i, f"one {i}") for i in range(300)]
+    for some in (rows, rows[400:]):
+        order = sorted((-(1 << 63) if i is None else i, np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).astype(np.int64), t) for i, t in some)
+        follows = {t: order[(k + 1) % len(order)][2] for k, (_, _, t) in enumerate(order)}
+        out = fingerprints.with_next(spark.createDataFrame(some, "doc_id long, text string"), "doc_id", "text")
+        found = [(r["__text"], r["__next"], r["__bucket"]) for r in out.where("__tail = 0").collect()]
+        assert sorted((t, n) for t, n, _ in found) == sorted(follows.items())
+        most = Counter(b for _, _, b in found).most_common(1)[0][1]
+        assert most <= 2 * len(some) / (1 + sum(len(t) for _, t in some) // 500)
+
+
 def test_op2_pairs_within_the_radius(spark):
     from plotwright.llm.fingerprints import near_pairs
 
@@ -208,6 +246,95 @@ def test_op3_windows_with_equal_hashes(monkeypatch):
     assert quality_rules.base_counts(pa.array(texts))[4].tolist() == [quality3(t)[4] for t in texts]
 
 
+def brute3(docs, lang_of):
+    """kept and log-perplexities by loops: Kneser-Ney over dictionaries, quartiles of sorted lists, bands."""
+    from plotwright.llm import quality_rules as q
+
+    symbol, small, capital = q.characters()
+    out = {}
+    for lang in sorted({lang_of[k] for k in range(len(docs))}, key=repr):
+        mine = [k for k in range(len(docs)) if lang_of[k] == lang]
+        letters = Counter(int(small[ord(c)]) for k in mine for c in docs[k][1] if symbol[ord(c)] == q.LETTER)
+        full, code = [0] * len(q.LETTERS), {}
+        for letter, n in sorted(letters.items(), key=lambda x: (-x[1], x[0])):
+            at = full.index(min(full))
+            code[letter], full[at] = q.LETTERS[at], full[at] + n
+
+        def symbols(t):
+            s = []
+            for c in t:
+                s += [q.CAPITAL] * bool(capital[ord(c)])
+                s.append(code[int(small[ord(c)])] if symbol[ord(c)] == q.LETTER else int(symbol[ord(c)]))
+            return s
+
+        texts = {docs[k][1]: symbols(docs[k][1]) for k in mine}
+        count = {q.ORDER: Counter()}
+        for s in texts.values():
+            padded = [0] * (q.ORDER - 1) + s
+            count[q.ORDER].update(tuple(padded[i : i + q.ORDER]) for i in range(len(s)))
+        for order in range(q.ORDER - 1, 0, -1):
+            count[order] = Counter(g[1:] for g in count[order + 1])
+        rest, whole, discount = {}, {}, {}
+        for order, c in count.items():
+            n = [max(1, sum(v == k for v in c.values())) for k in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1])
+            d = [0] + [min(max(k - (k + 1) * y * n[k] / n[k - 1], low), high) for k, low, high in ((1, 0.1, 0.95), (2, 0.2, 1.9), (3, 0.3, 2.85))]
+            discount[order] = d
+            whole[order], rest[order] = Counter(), Counter()
+            for g, v in c.items():
+                whole[order][g[:-1]] += v
+                rest[order][g[:-1]] += d[min(v, 3)]
+
+        def p(g):
+            if not g:
+                return 1 / q.ALPHABET
+            c, w = count[len(g)][g], whole[len(g)][g[:-1]]
+            if not w:
+                return p(g[1:])
+            return max(c - discount[len(g)][min(c, 3)], 0) / w + rest[len(g)][g[:-1]] / w * p(g[1:])
+
+        cache, score = {}, {}
+        for t, s in texts.items():
+            padded, total = [0] * (q.ORDER - 1) + s, 0.0
+            for i in range(len(s)):
+                g = tuple(padded[i : i + q.ORDER])
+                if g not in cache:
+                    cache[g] = math.log(p(g))
+                total -= cache[g]
+            n_words = len(WORD.findall(t))
+            score[t] = (total / len(s) if s else None, total / n_words if n_words else None, len(s))
+        bands = []
+        for k in (0, 1):
+            v = sorted(x[k] for x in score.values() if x[1] is not None)
+            bands.append([v[max(0, math.ceil(len(v) * f) - 1)] for f in (0.25, 0.5, 0.75)] if v else None)
+        for k in mine:
+            a, b, n = score[docs[k][1]]
+            inside = b is not None
+            for x, band in zip((a, b), bands):
+                if inside:
+                    width = max((band[2] - band[0]) / 1.349, 1e-3) * 5 * math.sqrt(1 + 200 / max(n, 1))
+                    inside = abs(x - band[1]) <= width
+            out[k] = (inside and not quality3(docs[k][1])[-1], a, b)
+    return [out[k] for k in range(len(docs))]
+
+
+@pytest.mark.parametrize("most", [32, 1])
+def test_op3_verdicts(spark, odd, monkeypatch, most):
+    """Models, perplexities and bands against loops; with broadcast models and with shuffled ones."""
+    from plotwright.llm import quality_rules as q
+
+    monkeypatch.setattr(q, "LANGUAGES", most)
+    monkeypatch.setattr(q, "GROUP", 10_000)
+    rows = spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text", "lang").collect()
+    docs = [(r.doc_id, r.text or "") for r in rows]
+    want = sorted(((i, *x) for (i, _), x in zip(docs, brute3(docs, [r.lang for r in rows]))), key=repr)
+    found = got(spark, "op3_kneser_ney_bands", odd, "doc_id", "kept", "log_perplexity", "log_word_perplexity")
+    close = lambda a, b: a is b is None or math.isclose(a, b, rel_tol=1e-4)
+    key = lambda x: (repr(x[:2]), x[3] or 0)
+    for a, b in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and close(a[2], b[2]) and close(a[3], b[3]), (a, b)
+
+
 def test_op3_model():
     """Probabilities of a context sum to 1; the hash arrays give what the formula gives."""
     from plotwright.llm import quality_rules as q
@@ -468,6 +595,46 @@ def test_op7(spark):
     assert scores.count() == docs.count() and cotrain.keep_good(docs, model).count() == scores.where("kept").count()
 
 
+def test_op7_one_exchange(spark):
+    """The surest guesses over all unlabelled rows, by loops over all of them."""
+    import math as m
+    import random
+
+    from plotwright.llm import cotrain
+
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["good", "fine", "calm", "bad", "vile", "x1", "river"]) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    docs = [(i, texts[i], rng.choice("ab"), rng.choice(["en", None]), len(texts[i])) for i in range(250)]
+    docs += [(250 + i, *docs[i][1:]) for i in range(50)]  # copies
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").repartition(5)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 250, 10)] + [(0, 0, 0)], "doc_id long, quality int, toxic int")
+    rows = cotrain.labelled(cotrain.features(frame, "doc_id", "text"), labels)
+    assert {r.id: r.y for r in rows.where("y is not null").collect()} == {i: int(i > 0) for i in range(0, 250, 10)}
+    noise = np.random.default_rng(7)
+    views = {"text": cotrain.View((1 << cotrain.WORD_BITS) + len(cotrain.SHAPES) * cotrain.BINS), "meta": cotrain.View(1 << cotrain.META_BITS)}
+    for view in views.values():
+        view.weight, view.scale = noise.normal(0, 2, view.width + 1), (1.5, 0.1)
+    every = [r.asDict() for r in rows.where("y is null").collect()]
+    edges = np.sort(noise.normal(0, 1, (len(cotrain.SHAPES), cotrain.BINS - 1)), 1)
+    taught = {"text": np.array([every[0]["kind"]]), "meta": np.array([], np.int64)}
+    want = []
+    for mine, other in (("text", "meta"), ("meta", "text")):
+        best = {}
+        for r in every:
+            bins, shapes, meta = (np.frombuffer(r[c], t) for c, t in (("bins", np.uint16), ("shapes", float), ("meta", np.int16)))
+            w = views[mine].weight
+            if mine == "text":
+                raw = sum(w[b] * cotrain.WORD_VALUE / m.sqrt(len(bins)) for b in bins) + sum(w[(1 << cotrain.WORD_BITS) + i * cotrain.BINS + sum(x >= e for e in edges[i])] * cotrain.SHAPE_VALUE for i, x in enumerate(shapes))
+            else:
+                raw = 0.5 * sum(w[b] for b in meta)
+            p = 1 / (1 + m.exp(-(1.5 * (raw + w[-1]) + 0.1)))
+            best[r["kind"]] = p
+        for value, sure in ((1.0, lambda p: p), (0.0, lambda p: 1 - p)):
+            found = sorted((-sure(p), kind) for kind, p in best.items() if sure(p) >= cotrain.CONFIDENT and kind not in taught[other])
+            want += [(other, value, kind) for _, kind in found[:12]]
+    assert cotrain.surest(rows, views, edges, taught, 12) == sorted(want) and len(want) > 20
+
+
 def test_op7_odd_tables(spark, odd, empty):
     from plotwright.llm import cotrain
 
