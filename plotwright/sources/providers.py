@@ -56,7 +56,7 @@ def _lookup(raw: Column, table: dict[str, tuple[str, ...]], whole: bool) -> Colu
     low = F.lower(F.trim(raw))
     out = F.lit(None).cast("string")
     for name, found in reversed(table.items()):
-        hit = low.isin(*found) if whole else low.rlike("|".join(found))
+        hit = low.isin(*found) if whole else low.rlike("(?<![a-z])(?:" + "|".join(found) + ")")  # a penthouse is no house
         out = F.when(hit, name).otherwise(out)
     return out
 
