@@ -26,12 +26,12 @@ def _finish(spark, out, mode="append"):
     return spark.read.schema(out.schema).parquet(f"{base}/rows")
 
 
-@plan("""select user_id::varchar as key, event_id as n, (count(*) filter (where event_type = 'error') over (partition by user_id, g order by event_id))::int as refusals
-  from (select *, count(*) filter (where event_type <> 'error') over (partition by user_id order by event_id) as g from events)""")
+@plan("""select user_id::varchar as key, event_id as n, (count(*) filter (where event_type = 'error') over (partition by user_id, g order by event_id))::int as refusals,
+  count(*) filter (where event_type = 'error') over (partition by user_id, g order by event_id) >= 3 as blocked from (select *, count(*) filter (where event_type <> 'error') over (partition by user_id order by event_id) as g from events)""")
 def refusal_stream(spark, sf):
     """Refusals in a row per host, by a state per key."""
     s = _stream(spark, sf).withColumn("bad", F.col("event_type") == "error")
-    return _finish(spark, S.refusal_blocks(s, "user_id", "event_id", "bad", 3)).select("key", "n", "refusals")
+    return _finish(spark, S.refusal_blocks(s, "user_id", "event_id", "bad", 3)).select("key", "n", "refusals", "blocked")
 
 
 @plan("""select user_id, event_id, count(*) filter (where event_type = 'error') over (partition by user_id, g order by event_id) as refusals,
@@ -56,11 +56,13 @@ def claimed_once(spark, sf):
     return spark.read.parquet(f"{base}/rows").select("event_id", "user_id")
 
 
-@plan("""select user_id::varchar as key, count(*) as n from events group by 1""")
+@plan("""with recursive o as materialized (select user_id, floor(epoch(ts))::bigint as t, row_number() over (partition by user_id order by ts) as i from events),
+  r as (select user_id, i, t as last, true as fresh from o where i = 1 union all select o.user_id, o.i, case when o.t - r.last > 86400 then o.t else r.last end, o.t - r.last > 86400 from r join o on o.user_id = r.user_id and o.i = r.i + 1)
+  select user_id::varchar as key, count(*) as n, count(*) filter (where fresh) as n_fresh from r group by 1""")
 def ttl_stream(spark, sf):
-    """Events judged fresh or repeated by a state with a time limit; all of them come out once."""
+    """Events of each key, and how many of them were fresh: none in the day before the last fresh one ended."""
     out = _finish(spark, S.seen_with_ttl(_stream(spark, sf), "user_id", "ts", 86400))
-    return out.groupBy("key").agg(F.count("*").alias("n"))
+    return out.groupBy("key").agg(F.count("*").alias("n"), F.count_if("fresh").alias("n_fresh"))
 
 
 @plan("""select user_id, event_type as state from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k = 1""")

@@ -39,14 +39,16 @@ def folded_text(spark, sf):
     return spread(t(spark, sf, "documents")).select("doc_id", F.sha2(X.fold(F.col("text")), 256).alias("folded_sha256"), F.size(X.words(X.fold(F.col("text")))).cast("long").alias("n_words"))
 
 
-NUMBERS = ["1,200", "1.200", "1,5 млн", "200k", "1.5", "0,75 ha", "1.200.000", "1,200,000.50", "1.234,5", "none", "12 345", "3 mm", "7 тыс", "2.500 €", "0.125"]
-VALUES = [1200.0, 1200.0, 1.5e6, 2e5, 1.5, 0.75, 1.2e6, 1200000.5, 1234.5, None, 12345.0, 3e6, 7000.0, 2500.0, 0.125]
+_SIZE = "cast(p_size as string)"
+_NUMBER = f"""case p_partkey % 10 when 0 then {_SIZE} || ',200' when 1 then {_SIZE} || '.200 €' when 2 then {_SIZE} || ',5 млн' when 3 then 'from ' || {_SIZE} || 'k' when 4 then {_SIZE} || '.5' when 5 then '0,' || {_SIZE} || ' ha'
+  when 6 then {_SIZE} || '.200.000' when 7 then {_SIZE} || ',200,000.50' when 8 then {_SIZE} || ' 345' else 'none' end"""
 
 
-@plan("select p_partkey, v from part join (values " + ", ".join(f"({i}, {'null' if v is None else v}::double)" for i, v in enumerate(VALUES)) + f") s(n, v) on n = p_partkey % {len(VALUES)}")
+@plan("""select p_partkey, case p_partkey % 10 when 0 then p_size * 1000 + 200 when 1 then p_size * 1000 + 200 when 2 then p_size * 1e6 + 5e5 when 3 then p_size * 1000 when 4 then p_size + 0.5 when 5 then ('0.' || p_size)::double
+  when 6 then p_size * 1e6 + 2e5 when 7 then p_size * 1e6 + 200000.5 when 8 then p_size * 1000 + 345 end::double as v from part""")
 def number_parse(spark, sf):
-    raw = F.get(F.array(*map(F.lit, NUMBERS)), F.col("p_partkey").cast("int") % len(NUMBERS))
-    return t(spark, sf, "part").select("p_partkey", X.parse_number(raw).alias("v"))
+    """Numbers in ten ways of writing, back from the text."""
+    return t(spark, sf, "part").select("p_partkey", X.parse_number(F.expr(_NUMBER)).alias("v"))
 
 
 @plan("""select p_partkey, '~' || replace(format('{:,}', round_even(p_retailprice * 37, 0)::bigint), ',', ' ') || ' ' || case p_partkey % 3 when 0 then '€' when 1 then '$' else 'CHF' end as money,
@@ -83,14 +85,16 @@ def distance_km(spark, sf):
     return t(spark, sf, "supplier").select("s_suppkey", F.round(d, 3).alias("km"))
 
 
-STAMPS = ["3 h", "ayer", "hace 2 días", "just now", "21.05.2024", "1 week", "unknown", "12 min", "2 meses", "1 y", "21 de septiembre"]
-AGES = ["3/24.0", "1.0", "2.0", "0.0", "11.0", "7.0", "null", "12/1440.0", "60.0", "365.0", "null"]
+_N = "cast(user_id % 50 + 1 as string)"
+_STAMP = f"""case event_id % 9 when 0 then {_N} || ' h' when 1 then 'ayer' when 2 then 'hace ' || {_N} || ' días' when 3 then 'just now' when 4 then day when 5 then {_N} || ' weeks' when 6 then 'unknown' when 7 then {_N} || ' min' else {_N} || ' meses' end"""
 
 
-@plan("select event_id, round(a, 6) as age, coalesce(a <= 14, false) as recent, coalesce(a > 14, false) as stale from events join (values " + ", ".join(f"({i}, ({a})::double)" for i, a in enumerate(AGES)) + f") s(n, a) on n = event_id % {len(AGES)}")
+@plan("""select event_id, round(a, 6) as age, coalesce(a <= 14, false) as recent, coalesce(a > 14, false) as stale from (select event_id, case event_id % 9 when 0 then n / 24.0 when 1 then 1.0 when 2 then n when 3 then 0.0
+  when 4 then date_diff('day', ts::date, date '2024-06-01') when 5 then n * 7 when 7 then n / 1440.0 when 8 then n * 30 end::double as a from (select *, user_id % 50 + 1 as n from events))""")
 def relative_age(spark, sf):
-    raw = F.get(F.array(*map(F.lit, STAMPS)), (F.col("event_id") % len(STAMPS)).cast("int"))
-    e = t(spark, sf, "events").select("event_id", X.age_days(raw, F.lit("2024-06-01").cast("timestamp")).alias("a"))
+    """Ages of stamps in nine ways of writing."""
+    e = t(spark, sf, "events").withColumn("day", F.date_format("ts", "d.M.yyyy"))
+    e = e.select("event_id", X.age_days(F.expr(_STAMP), F.lit("2024-06-01").cast("timestamp")).alias("a"))
     return e.select("event_id", F.round("a", 6).alias("age"), X.recent(F.col("a"), 14).alias("recent"), X.stale(F.col("a"), 14).alias("stale"))
 
 

@@ -50,46 +50,40 @@ def blocked_hosts(spark, sf):
     return spread(t(spark, sf, "pages")).select("page_id", U.under(h, ["spam-farm.example.org", "cheap-pills.example.com"]).alias("blocked"))
 
 
-# A set of addresses of every shape, joined to pages by number.
-SHAPES = [
-    "https://www.idealista.com/inmueble/123456/", "https://idealista.com/en/venta-viviendas/madrid/", "https://www.fotocasa.es/es/comprar/vivienda/x/181234567/d",
-    "https://pisos.com/venta/pisos-madrid/", "https://site.test/venta/pisos-valencia-46001/", "https://site.test/piso-centro-4567", "https://site.test/noticias/2024/05/nota-123456",
-    "https://site.test/ref-ab1234", "https://site.test/blog/x", "https://site.test/file.pdf", "https://user:pw@site.test/x", "ftp://site.test/x", "https://site.test/login/x",
-    "https://site.test/alquiler/piso-987654", "https://site.test/for-sale/to-rent/1", "mailto:x@y.z", "https://m.site.test/casa-en-venta-123456.html", "https://site.test/20240512/story",
-]
-SHAPES_SQL = "(values " + ", ".join(f"({i}, '{u}')" for i, u in enumerate(SHAPES)) + ") s(n, url)"
+_K = "cast(p_partkey as string)"
+# Addresses of every shape with each part's own numbers and words.
+_URL = f"""case p_partkey % 18 when 0 then 'https://www.idealista.com/inmueble/' || lpad({_K}, 6, '1') || '/' when 1 then 'https://idealista.com/en/venta-viviendas/' || p_brand_word || '/' when 2 then 'https://www.fotocasa.es/es/comprar/vivienda/x/' || lpad({_K}, 9, '1') || '/d'
+  when 3 then 'https://pisos.com/venta/pisos-' || p_brand_word || '/' when 4 then 'https://site.test/venta/pisos-valencia-46001/' when 5 then 'https://site.test/piso-centro-' || lpad({_K}, 4, '5') when 6 then 'https://site.test/noticias/2024/05/nota-' || lpad({_K}, 6, '1')
+  when 7 then 'https://site.test/ref-ab' || lpad({_K}, 4, '1') when 8 then 'https://site.test/blog/' || p_brand_word when 9 then 'https://site.test/' || {_K} || '.pdf' when 10 then 'https://user:pw@site.test/' || {_K} when 11 then 'ftp://site.test/' || {_K} when 12 then 'https://site.test/login/' || {_K}
+  when 13 then 'https://site.test/alquiler/piso-' || lpad({_K}, 6, '9') when 14 then 'https://site.test/for-sale/to-rent/' || {_K} when 15 then 'mailto:x@y.z' when 16 then 'https://m.site.test/casa-en-venta-' || lpad({_K}, 6, '1') || '.html' else 'https://site.test/202405' || lpad(cast(p_partkey % 28 + 1 as string), 2, '0') || '/story' end"""
+_URLS = f"(select p_partkey, {_URL} as url from (select *, lower(split_part(p_brand, '#', 1)) as p_brand_word from part))"
 
 
 def shapes(spark, sf):
-    """Every page's number with the shape of its remainder: as many rows as pages."""
-    each = F.array(*map(F.lit, SHAPES))
-    return spread(t(spark, sf, "pages")).select("page_id", F.get(each, F.col("page_id").cast("int") % len(SHAPES)).alias("url"))
+    p = t(spark, sf, "part").withColumn("p_brand_word", F.lower(F.split("p_brand", "#")[0]))
+    return p.select("p_partkey", F.expr(_URL).alias("url"))
 
 
-_deal_words = "(select string_split_regex(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '[/\\-_.]+') as w)"
 RENT = "['" + "','".join(U.RENT_WORDS) + "']"
 SALE = "['" + "','".join(U.SALE_WORDS) + "']"
 
 
-@plan(f"""select page_id, case when list_has_any(w, {RENT}) and not list_has_any(w, {SALE}) then 'rent' when list_has_any(w, {SALE}) and not list_has_any(w, {RENT}) then 'sale' end as deal,
+@plan(f"""select p_partkey, case when list_has_any(w, {RENT}) and not list_has_any(w, {SALE}) then 'rent' when list_has_any(w, {SALE}) and not list_has_any(w, {RENT}) then 'sale' end as deal,
   coalesce(list_has_any(w, {RENT}) and not list_has_any(w, {SALE}), false) as conflicts_with_sale
-  from (select page_id, string_split_regex(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '[/\\-_.]+') as w from pages join {SHAPES_SQL} on n = page_id % {len(SHAPES)})""".replace("url, '^[a-z]", "s.url, '^[a-z]"))
+  from (select p_partkey, string_split_regex(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '[/\\-_.]+') as w from {_URLS})""")
 def path_deals(spark, sf):
     u = F.col("url")
-    return shapes(spark, sf).select("page_id", U.path_deal(u).alias("deal"), U.deal_conflict(u, F.lit("sale")).alias("conflicts_with_sale"))
+    return shapes(spark, sf).select("p_partkey", U.path_deal(u).alias("deal"), U.deal_conflict(u, F.lit("sale")).alias("conflicts_with_sale"))
 
 
-EXPECTED = ["listing", "index", "listing", "index", "unknown", "listing", "unknown", "listing", "unknown", "unknown", "unknown", "unknown", "unknown", "listing", "unknown", "unknown", "listing", "unknown"]
-FETCH = [True] * 9 + [False] * 4 + [True] * 2 + [False] + [True] * 2
-NEWS = [i in (6, 8, 17) for i in range(18)]
-_FACTS = "(values " + ", ".join(f"({i}, '{k}', {str(f).lower()}, {str(w).lower()})" for i, (k, f, w) in enumerate(zip(EXPECTED, FETCH, NEWS))) + ") s(n, kind, fetchable, news)"
-
-
-@plan(f"select page_id, kind, fetchable, news from pages join {_FACTS} on n = page_id % {len(SHAPES)}")
+@plan("""select p_partkey, case when p_partkey % 18 in (0, 2, 5, 7, 13, 16) then 'listing' when p_partkey % 18 in (1, 3) then 'index' else 'unknown' end as kind, p_partkey % 18 not in (9, 10, 11, 12, 15) as fetchable, p_partkey % 18 in (6, 8, 17) as news from part
+  union all select page_id, 'unknown', regexp_matches(url, '^https?://'), false from pages""")
 def url_classes(spark, sf):
+    """Classes of addresses of all shapes and of the table's pages, which are on no portal and have short numbers."""
     u, at, p = F.col("url"), F.col("site"), F.col("path")
-    parts = shapes(spark, sf).withColumns({"site": U.site(u), "path": U.path(u)})
-    return parts.select("page_id", U.classify(u, at, p).alias("kind"), U.fetchable(u, (), at, p).alias("fetchable"), U.news_page(u).alias("news"))
+    every = shapes(spark, sf).unionByName(spread(t(spark, sf, "pages")).select(F.col("page_id").alias("p_partkey"), "url"))
+    parts = every.withColumns({"site": U.site(u), "path": U.path(u)})
+    return parts.select("p_partkey", U.classify(u, at, p).alias("kind"), U.fetchable(u, (), at, p).alias("fetchable"), U.news_page(u).alias("news"))
 
 
 @plan()
