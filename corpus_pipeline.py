@@ -52,7 +52,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Co-training and components can't be said in SQL; tests/llm compare run() with a brute-force version.
+#: Co-training and components can't be said in SQL; tests/llm compare run() with its stages one by one, and the operators with brute-force versions.
 ORACLE_SQL = None
 
 
