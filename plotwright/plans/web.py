@@ -76,10 +76,10 @@ def path_deals(spark, sf):
     return shapes(spark, sf).select("p_partkey", U.path_deal(u).alias("deal"), U.deal_conflict(u, F.lit("sale")).alias("conflicts_with_sale"))
 
 
-@plan("""select p_partkey, case when p_partkey % 18 in (0, 2, 5, 7, 13, 16) then 'listing' when p_partkey % 18 in (1, 3) then 'index' else 'unknown' end as kind, p_partkey % 18 not in (9, 10, 11, 12, 15) as fetchable, p_partkey % 18 in (6, 8, 17) as news from part
+@plan("""select p_partkey, case when p_partkey % 18 = 5 and regexp_matches(lpad(p_partkey::varchar, 4, '5'), '^(19|20)') then 'unknown' when p_partkey % 18 in (0, 2, 5, 7, 13, 16) then 'listing' when p_partkey % 18 in (1, 3) then 'index' else 'unknown' end as kind, p_partkey % 18 not in (9, 10, 11, 12, 15) as fetchable, p_partkey % 18 in (6, 8, 17) as news from part
   union all select page_id, 'unknown', regexp_matches(url, '^https?://'), false from pages""")
 def url_classes(spark, sf):
-    """Classes of addresses of all shapes and of the table's pages, which are on no portal and have short numbers."""
+    """Classes of addresses of all shapes and of the table's pages, which are on no portal and have short numbers. An ending like a year is no ad's number."""
     u, at, p = F.col("url"), F.col("site"), F.col("path")
     every = shapes(spark, sf).unionByName(spread(t(spark, sf, "pages")).select(F.col("page_id").alias("p_partkey"), "url"))
     parts = every.withColumns({"site": U.site(u), "path": U.path(u)})
