@@ -12,7 +12,9 @@ from plotwright.functions.urls import let
 BUCKETS = ("exact", "similar", "other", "excluded")
 FAR = float("inf")
 BUDGET, CEILING, AREA, AREA_FLOOR, EPS = 0.10, 0.25, 0.10, 0.75, 1e-9
-REQUEST = "request_id long, amount double, is_max boolean, currency string, deal string, kind string, city string, country string, min_area double, max_area double, rooms int, min_price double, budget_pct double, area_pct double, rooms_delta int, nearby array<string>"
+REQUEST = "request_id long, amount double, is_max boolean, currency string, deal string, kind string, city string, country string, min_area double, max_area double, rooms int, min_price double, budget_pct double, area_pct double, rooms_delta int, nearby array<string>, comarcas array<string>, studio_zero boolean, place_guard boolean, auction_guard boolean, rental_term string, seasonal_guard boolean, seasonal_excluded boolean"
+# What a listing may also tell: an unconfirmed place, an auction, the term and the season of a let, the comarcas of its place.
+OFFERED = {"offer": "string", "country": "string", "place_unverified": "boolean", "auction": "boolean", "rental_term": "string", "seasonal": "boolean", "comarcas": "array<string>"}
 
 
 def verdict(rank: int | Column, distance, why=None) -> Column:
@@ -48,11 +50,14 @@ def area_match(area: Column, least: Column, pct: Column) -> Column:
 
 
 def classify(x, r) -> Column:
-    """Verdict of listing x (price, currency, area, rooms, deal, kind, city, optional offer, country) on request r.
+    """Verdict of listing x (price, currency, area, rooms, deal, kind, city and what OFFERED names) on request r.
 
     Contradictions exclude in a fixed order: not one offer, deal, type, country. Otherwise the farthest of area, rooms,
-    price floor, place and budget decides; approved deviations stay exact with that reason. Unknown is never a
-    contradiction: an unknown area is similar, an unknown price with a budget is other.
+    price floor, place, guards and budget decides; approved deviations stay exact with that reason. Unknown is never a
+    contradiction: an unknown area is similar, an unknown price with a budget is other. A place elsewhere, by city or by
+    comarca, ends the comparison. Guards act where the request asks for them: an unconfirmed place, an auction for a
+    sale, a temporary or seasonal let for a rent are similar, or excluded if season lets are; a studio that names no
+    rooms has none, and its one room against one may be the studio itself.
     """
     no = lambda c: F.coalesce(c, F.lit(False))
     approved = lambda v: no(v["why"] == "approved_deviation")
@@ -61,23 +66,36 @@ def classify(x, r) -> Column:
     area = F.when(r["min_area"].isNull(), plain).when(x["area"] > 0, area_match(x["area"], r["min_area"], r["area_pct"])).otherwise(verdict(1, 0.0, "area_unknown"))
     fewer = no((x["rooms"] > 0) & (x["rooms"] < r["rooms"]))
     allowed = fewer & no(x["rooms"] >= r["rooms"] - r["rooms_delta"])
-    near = no(F.array_contains(r["nearby"], x["city"]))
-    away = no(x["city"] != r["city"]) & ~near
+    single = no(r["studio_zero"] & (r["rooms"] > 0) & (x["kind"] == "studio") & (x["rooms"].isNull() | (x["rooms"] <= 0) | ((x["rooms"] == 1) & (r["rooms"] == 1))))
+    bare = single & no((r["rooms_delta"] > 0) & (r["rooms"] - r["rooms_delta"] <= 0))
+    lets = no(x["rental_term"] == "temporary")
+    season = lets | no(x["seasonal"])
+    renting, selling = no(r["deal"] == "rent"), no(r["deal"] == "sale")
+    next_to = no(F.array_contains(r["nearby"], x["city"]))
+    near = r["city"].isNotNull() & next_to
+    by_comarca = no(F.size(r["comarcas"]) > 0) & no(F.size(x["comarcas"]) > 0) & ~near & ~no(F.arrays_overlap(x["comarcas"], r["comarcas"]))
+    beside = by_comarca & (next_to | no(F.arrays_overlap(x["comarcas"], r["nearby"])))
+    away = (no(x["city"] != r["city"]) & ~near) | (by_comarca & ~beside)
+    larger = no((r["area_pct"] > 0) & (x["area"] > r["max_area"] + EPS))
     currency = F.coalesce(x["currency"], r["currency"])
     cheap = no((x["price"] < r["min_price"] * (1 - BUDGET) - EPS) & (currency == r["currency"]))
 
     def rest(a):
         steps = [
             F.when(no(x["area"] > r["max_area"] * (1 + tol) + EPS), verdict(2, FAR, "area_max")).otherwise(plain),
-            F.when(fewer & ~allowed, verdict(2, FAR, "rooms")).otherwise(plain),
+            F.when(bare, plain).when(single & no(x["rooms"] == 1), verdict(1, 0.0, "unverified")).when(single | (fewer & ~allowed), verdict(2, FAR, "rooms")).otherwise(plain),
             F.when(cheap, verdict(2, FAR, "price")).otherwise(plain),
         ]
         first = reduce(lambda acc, v: let(acc, lambda p: worse(p, v)), steps, a)
         budget = F.when(r["amount"].isNull(), plain).when(x["price"].isNull() | (currency != r["currency"]), verdict(2, FAR, "price")).otherwise(budget_match(x["price"], r["amount"], r["is_max"], r["budget_pct"]))
-        # A place elsewhere ends the comparison before the budget.
-        last = F.when(away, verdict(2, FAR, "location")).otherwise(budget)
+        guard = (
+            F.when(no(r["seasonal_excluded"]) & renting & season, verdict(3, FAR, "seasonal")).when(no(r["place_guard"] & x["place_unverified"]), verdict(1, 0.0, "location_unknown"))
+            .when((no(r["auction_guard"] & x["auction"]) & selling) | (renting & ((no(r["rental_term"] == "long") & lets) | (no(r["seasonal_guard"]) & season))), verdict(1, 0.0, "deal_kind")).otherwise(plain)
+        )
+        # A place elsewhere ends the comparison before guards and budget.
+        last = F.when(away, verdict(2, FAR, "location")).otherwise(let(guard, lambda p: let(budget, lambda q: worse(p, q))))
         full = let(first, lambda p: let(last, lambda q: worse(p, q)))
-        eased = approved(a) | allowed | near | (~away & approved(budget))
+        eased = approved(a) | larger | bare | (allowed & ~single) | near | beside | (~away & approved(budget))
         mark = lambda v: F.when(v["rank"] == 0, F.struct(v["rank"].alias("rank"), v["distance"].alias("distance"), F.when(eased, F.lit("approved_deviation")).alias("why"))).otherwise(v)
         return F.when(a["rank"] == 3, a).otherwise(let(full, mark))
 
@@ -93,15 +111,15 @@ def requests(spark: SparkSession, rows: list[dict]) -> Column:
     from pyspark.sql.types import _parse_datatype_string
 
     schema = _parse_datatype_string(REQUEST)
-    cells = lambda r: [F.lit(r.get(f.name)).cast(f.dataType) if f.name != "nearby" else F.array(*map(F.lit, r.get("nearby", []))).cast("array<string>") for f in schema]
+    cells = lambda r: [F.lit(r.get(f.name)).cast(f.dataType) if f.name not in ("nearby", "comarcas") else F.array(*map(F.lit, r.get(f.name, []))).cast("array<string>") for f in schema]
     return F.array(*[F.struct(*[c.alias(f.name) for c, f in zip(cells(r), schema)]) for r in rows])
 
 
 def graded(listings: DataFrame, wanted: list[dict]) -> DataFrame:
     """One row per listing and request: id, request_id, bucket, distance, why, and both sides as structs x and r."""
-    for name in ("offer", "country"):
+    for name, kind in OFFERED.items():
         if name not in listings.columns:
-            listings = listings.withColumn(name, F.lit(None).cast("string"))
+            listings = listings.withColumn(name, F.lit(None).cast(kind))
     pairs = listings.select("id", F.struct(*listings.columns).alias("x"), F.explode(requests(listings.sparkSession, wanted)).alias("r"))
     pairs = pairs.withColumn("v", classify(F.col("x"), F.col("r")))
     return pairs.select("id", F.col("r.request_id").alias("request_id"), F.get(F.array(*map(F.lit, BUCKETS)), F.col("v.rank")).alias("bucket"), F.col("v.distance").alias("distance"), F.col("v.why").alias("why"), "x", "r")

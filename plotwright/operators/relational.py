@@ -57,18 +57,21 @@ def audit(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").where(~F.col("old_row").eqNullSafe(F.col("new_row"))).select(key, op.alias("operation"), "old_row", "new_row")
 
 
-def chunk_assign(df: DataFrame, keys: list[str], order: list[Column], size: int, most: int, already: Column | int = 0) -> DataFrame:
-    """window_no and state: ranks fill windows of `size` behind those `already` there, up to `most` in all; the rest is skipped."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) + already
-    out = df.withColumn("__rank", rank)
-    inside = F.col("__rank") <= most
-    window = F.when(inside, F.floor((F.col("__rank") - 1) / size) + 1).cast("long")
-    return out.withColumn("window_no", window).withColumn("state", F.when(inside, "queued").otherwise("skipped")).drop("__rank")
+def chunk_assign(df: DataFrame, id: str, keys: list[str], order: list[Column], size: int, most: int, already: int = 0) -> DataFrame:
+    """window_no and state: ranks fill windows of `size` behind those `already` there, up to `most` in all; the rest is skipped.
 
+    Only the ranks that count are made (groups are limited before the shuffle), so few keys with many rows each are no
+    single tasks; the rest learns by a join on the unique id that it has none.
+    """
+    first = nth(df, keys, order, "__rank").where(F.col("__rank") <= most - already)
+    windows = first.select(id, (F.floor((F.col("__rank") + already - 1) / size) + 1).cast("long").alias("window_no"))
+    return df.join(windows, id, "left").withColumn("state", F.when(F.col("window_no").isNotNull(), "queued").otherwise("skipped"))
 
-def round_robin(df: DataFrame, lane: list[str], order: list[Column], name: str = "turn") -> DataFrame:
-    """turn 1 is each lane's first row, turn 2 its second: ordering by turn interleaves the lanes."""
-    return nth(df, lane, order, name)
+
+def round_robin(df: DataFrame, lane: list[str], order: list[Column], name: str = "turn", most: int | None = None) -> DataFrame:
+    """turn 1 is each lane's first row, turn 2 its second: ordering by turn interleaves the lanes. most: turns that are needed, so long lanes are cut before the shuffle."""
+    turned = nth(df, lane, order, name)
+    return turned if most is None else turned.where(F.col(name) <= most)
 
 
 def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int, aggregates: dict[str, Column]) -> DataFrame:
@@ -132,6 +135,18 @@ def merge_hits(hits: DataFrame, key: str, rank: str, backend: str, most: int, by
     return last_n(first, by, [F.col(rank), F.col(backend), F.col(key)], most)
 
 
+def leading(hits: DataFrame, key: str, backend: str, order: str, most: int) -> DataFrame:
+    """The hits of every backend up to its `most`-th different key: all that a merge of `most` keys can take.
+
+    A later key has `most` keys before it in its own backend, each of which the merge prefers. The cut is found from the
+    keys' first hits, counted per task; what stays to be ranked is short unless a backend repeats itself. Hits without a
+    backend or a place in its order are left out.
+    """
+    firsts = hits.groupBy(backend, key).agg(F.min(order).alias("__at"))
+    cut = last_n(firsts, [backend], [F.col("__at"), F.col(key)], most).groupBy(backend).agg(F.max("__at").alias("__cut"))
+    return hits.join(cut, backend).where(F.col(order) <= F.col("__cut")).drop("__cut")
+
+
 def expire(df: DataFrame, ts: str, now: Column, days: int) -> tuple[DataFrame, DataFrame]:
     """Rows to keep, and the count of those past the retention window (a dry run)."""
     old = F.col(ts) < now - F.make_dt_interval(F.lit(days))

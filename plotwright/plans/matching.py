@@ -32,7 +32,7 @@ GRADED = f"""(with j as (select l.*, r.*, (price - amount) / amount as off, area
     case when l_rank > f_rank or (l_rank = f_rank and l_dist > f_dist) then l_why else f_why end as wy from v)
   select *, case when coalesce(deal <> rdeal, false) then 'excluded' when coalesce(kind <> rkind, false) then 'excluded' when a_rank = 3 then 'excluded' else (['exact', 'similar', 'other', 'excluded'])[rank + 1] end as bucket,
     case when coalesce(deal <> rdeal, false) or coalesce(kind <> rkind, false) then 'infinity'::double when a_rank = 3 then a_dist else dist end as distance,
-    case when coalesce(deal <> rdeal, false) then 'deal' when coalesce(kind <> rkind, false) then 'type' when a_rank = 3 then a_why when rank = 0 then case when coalesce(a_why = 'approved_deviation', false) or allowed or near or (not away and b_ok) then 'approved_deviation' end else wy end as why from w)"""
+    case when coalesce(deal <> rdeal, false) then 'deal' when coalesce(kind <> rkind, false) then 'type' when a_rank = 3 then a_why when rank = 0 then case when coalesce(a_why = 'approved_deviation', false) or allowed or near or coalesce(apct > 0 and area > max_area + 1e-9, false) or (not away and b_ok) then 'approved_deviation' end else wy end as why from w)"""
 
 
 @plan(f"select id, request_id::bigint as request_id, bucket, round(least(distance, 1e9), 9) as distance, why from {GRADED}")
@@ -41,6 +41,27 @@ def bucket_classifier(spark, sf):
     return g.select("id", "request_id", "bucket", F.round(F.least("distance", F.lit(1e9)), 9).alias("distance"), "why")
 
 
+GUARDED = [
+    {"request_id": 11, "deal": "sale", "rooms": 1, "studio_zero": True, "auction_guard": True, "place_guard": True},
+    {"request_id": 12, "deal": "rent", "rental_term": "long", "seasonal_guard": True, "comarcas": ["centro"], "nearby": ["costa"]},
+    {"request_id": 13, "deal": "rent", "rooms": 2, "rooms_delta": 2, "studio_zero": True, "seasonal_excluded": True},
+]
+
+
+@plan(f"""with l as (select *, left(district, 1) < 'i' as unsure, contains(title, 'b') as auctioned, contains(title, 'k') as short, contains(title, 'z') as season, case when left(title, 1) < 'g' then 'centro' when left(title, 1) < 'm' then 'costa' when left(title, 1) < 's' then 'sierra' end as comarca from {SQL}),
+  v as (select id, 11 as request_id, case when deal = 'rent' then 'deal' when kind = 'studio' and rooms is null then 'rooms' when kind = 'studio' and rooms = 1 then 'unverified' when unsure then 'location_unknown' when auctioned then 'deal_kind' end as why from l
+    union all select id, 12, case when deal = 'sale' then 'deal' when comarca = 'sierra' then 'location' when short or season then 'deal_kind' when comarca = 'costa' then 'approved_deviation' end from l
+    union all select id, 13, case when deal = 'sale' then 'deal' when short or season then 'seasonal' when rooms = 1 or (rooms is null and kind = 'studio') then 'approved_deviation' end from l)
+  select id, request_id::bigint as request_id, case when why is null or why = 'approved_deviation' then 'exact' when why in ('deal', 'seasonal') then 'excluded' when why in ('rooms', 'location') then 'other' else 'similar' end as bucket, why from v""")
+def guarded_offers(spark, sf):
+    """Grades under the guards that a request may ask for; the flags are read off the listings' titles and districts."""
+    has = lambda letter: F.contains("title", F.lit(letter))
+    first = F.left("title", F.lit(1))
+    comarca = F.when(first < "g", "centro").when(first < "m", "costa").when(first < "s", "sierra")
+    flagged = listings(spark, sf).withColumns({"place_unverified": F.left("district", F.lit(1)) < "i", "auction": has("b"), "rental_term": F.when(has("k"), "temporary"), "seasonal": has("z"), "comarcas": F.when(comarca.isNotNull(), F.array(comarca))})
+    return M.graded(flagged, GUARDED).select("id", "request_id", "bucket", "why")
+
+
 @plan("""select o_orderkey, case when o_totalprice <= 200000 then 'exact' when (o_totalprice - 200000) / 200000 <= 0.1 + 1e-9 then 'exact' when (o_totalprice - 200000) / 200000 <= 0.25 + 1e-9 then 'similar' else 'other' end as bucket from orders""")
 def budget_bucket(spark, sf):
     v = M.budget_match(F.col("o_totalprice"), F.lit(200000.0), F.lit(True), F.lit(None).cast("double"))

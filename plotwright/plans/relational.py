@@ -171,7 +171,7 @@ def pass_streak(spark, sf):
   from (select *, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) + 3 as k from part)""")
 def chunk_assign(spark, sf):
     p = t(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")
-    return R.chunk_assign(p, ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 7, 60, 3).drop("p_retailprice")
+    return R.chunk_assign(p, "p_partkey", ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 7, 60, 3).drop("p_retailprice")
 
 
 @plan("""select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as number from orders""")
@@ -371,14 +371,15 @@ def capacity_guard(spark, sf):
 
 @plan("""select event_id, turn, user_id from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as turn from events) order by turn, user_id, event_id limit 200""")
 def fair_queue(spark, sf):
-    q = R.round_robin(t(spark, sf, "events"), ["user_id"], [F.col("ts"), F.col("event_id")])
+    q = R.round_robin(t(spark, sf, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], most=200)
     return q.orderBy("turn", "user_id", "event_id").limit(200).select("event_id", F.col("turn").cast("long"), "user_id")
 
 
 @plan("""with h as (select user_id as key, event_type as backend, row_number() over (partition by event_type order by event_id) as rank from events),
   f as (select *, row_number() over (partition by key order by rank, backend) as k from h) select key, backend, rank from f where k = 1 order by rank, backend, key limit 60""")
 def hit_merge(spark, sf):
-    hits = R.nth(t(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("backend"), "event_id"), ["backend"], [F.col("event_id")], "rank")
+    hits = R.leading(t(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("backend"), "event_id"), "key", "backend", "event_id", 60)
+    hits = R.nth(hits, ["backend"], [F.col("event_id")], "rank")
     return R.merge_hits(hits, "key", "rank", "backend", 60).select("key", "backend", F.col("rank").cast("long"))
 
 

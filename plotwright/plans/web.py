@@ -33,7 +33,7 @@ def url_identity(spark, sf):
 def url_frontier(spark, sf):
     """Pages by identity, the first of each, dealt fairly over hosts."""
     p = spread(t(spark, sf, "pages")).select("page_id", U.normalize(F.col("url")).alias("norm"), U.site(F.col("url")).alias("host"))
-    q = R.round_robin(R.first_per(p, ["norm"], [F.col("page_id")]), ["host"], [F.col("page_id")])
+    q = R.round_robin(R.first_per(p, ["norm"], [F.col("page_id")]), ["host"], [F.col("page_id")], most=50)
     return q.orderBy("turn", "host", "page_id").limit(50).select("page_id", "host", F.sha2("norm", 256).alias("url_key"), F.col("turn").cast("long"))
 
 
