@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +48,9 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that lost executors lose nothing."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, computed once; broadcast if it has at most so many (narrow) rows, else left to a shuffled join."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= most else kept
