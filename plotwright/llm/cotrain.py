@@ -169,54 +169,66 @@ def features(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, kind long, bins binary, shapes binary, meta binary")
 
 
-def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows with y: 1 good, 0 bad (of several labels of an id: the worst), null unknown. Null ids are salted, as many rows may have none."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """__k (the id as a string) and y: 1 good, 0 bad (of several labels of an id: the worst). Labels without an id or a value are none."""
     good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.concat(F.lit("k"), F.col("doc_id").cast("string")).alias("__k")).agg(F.min(good).alias("y"))
-    key = F.when(F.col("id").isNull(), F.concat(F.lit("n"), F.pmod("kind", F.lit(1024)).cast("string"))).otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))
-    return rows.withColumn("__k", key).join(known, "__k", "left").drop("__k")
+    return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("string").alias("__k")).agg(F.min(good).alias("y"))
 
 
-def surest(rows: DataFrame, views: dict[str, View], edges: np.ndarray, taught: dict[str, np.ndarray], each: int) -> list[tuple[str, float, int]]:
-    """(view that learns, value, kind) of the other view's surest guesses among all unlabelled rows: `each` of either class, the surest first, ties by kind.
+GUESS = "learner int, value int, sure double, kind long"
 
-    Equal rows are one kind. taught: kinds that a view has learnt already. Every task sends its own best.
+
+def surest(rows: DataFrame, known: DataFrame, views: dict[str, View], edges: np.ndarray, taught: dict[str, np.ndarray], each: int) -> list[tuple[str, float, int]]:
+    """(view that learns, value, kind) of the other view's surest guesses among all rows whose id isn't in `known`: `each` of either class, the surest first, ties by kind.
+
+    Equal rows are one kind. taught: kinds that a view has learnt already. All rows are guessed, and of the guesses, not
+    of the features, those with a label are taken out by a join; then every task sends its own best. Null ids are
+    salted in the join, as many rows may have none.
     """
     names = list(views)
 
-    def run(batches):
+    def guess(batches):
         for b in batches:
-            rows_, bins = unpacked(b.column(1), b.column(2), b.column(3))
-            n, kind = b.num_rows, b.column(0).to_numpy()
+            rows_, bins = unpacked(b.column(2), b.column(3), b.column(4))
+            n, kind = b.num_rows, b.column(1).to_numpy()
             sparse = {"text": text_rows(*rows_, edges), "meta": meta_rows(bins)}
             for k, (mine, other) in enumerate((names, names[::-1])):
                 p = sigmoid(views[mine].logit(views[mine].raw(*sparse[mine], n)))
                 for value, sure in ((1, p), (0, 1 - p)):
                     at = np.flatnonzero((sure >= CONFIDENT) & ~np.isin(kind, taught[other]))
-                    at = at[np.lexsort((kind[at], -sure[at]))]
-                    at = at[np.sort(np.unique(kind[at], return_index=True)[1])][:each]
-                    yield pa.RecordBatch.from_pydict({"learner": pa.array([1 - k] * len(at), pa.int32()), "value": pa.array([value] * len(at), pa.int32()), "sure": pa.array(sure[at]), "kind": pa.array(kind[at], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"learner": pa.array([1 - k] * len(at), pa.int32()), "value": pa.array([value] * len(at), pa.int32()), "sure": pa.array(sure[at]), "kind": pa.array(kind[at], pa.int64()), "id": b.column(0).take(pa.array(at))})
 
-    told = rows.where("y is null").select("kind", "bins", "shapes", "meta").mapInArrow(run, "learner int, value int, sure double, kind long")
-    told = told.groupBy("learner", "value", "kind").agg(F.max("sure").alias("sure"))
+    def best(batches):
+        for b in batches:
+            learner, value, sure, kind = (x.to_numpy() for x in b.columns)
+            for side in range(4):
+                at = np.flatnonzero(learner * 2 + value == side)
+                at = at[np.lexsort((kind[at], -sure[at]))]
+                yield b.take(pa.array(at[np.sort(np.unique(kind[at], return_index=True)[1])][:each]))
+
+    told = rows.select("id", "kind", "bins", "shapes", "meta").mapInArrow(guess, f"{GUESS}, id {rows.schema['id'].dataType.simpleString()}")
+    salt = F.when(F.col("id").isNull(), F.pmod("kind", F.lit(1024))).otherwise(0).cast("int")
+    told = told.select("*", F.col("id").cast("string").alias("__k"), salt.alias("__salt")).join(known.select("__k", F.lit(0).alias("__salt")), ["__k", "__salt"], "left_anti")
+    told = told.select("learner", "value", "sure", "kind").mapInArrow(best, GUESS).groupBy("learner", "value", "kind").agg(F.max("sure").alias("sure"))
     # The first of each of SALTS parts; so 4 * SALTS * each rows at most come to the driver.
     first = F.row_number().over(Window.partitionBy("learner", "value", F.pmod("kind", F.lit(SALTS))).orderBy(F.desc("sure"), "kind"))
     found = sorted((r["learner"], r["value"], -r["sure"], r["kind"]) for r in told.withColumn("k", first).where(F.col("k") <= each).collect())
-    best = [r for _, some in groupby(found, key=lambda r: r[:2]) for r in islice(some, each)]
-    return sorted((names[learner], float(value), kind) for learner, value, _, kind in best)
+    picked = [r for _, some in groupby(found, key=lambda r: r[:2]) for r in islice(some, each)]
+    return sorted((names[learner], float(value), kind) for learner, value, _, kind in picked)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model | None:
     """The views after ROUNDS of exchange, calibrated and blended on a fifth of the labelled rows; another fifth only gives the figures held_out. None where the labels don't have both classes.
 
-    Features of all rows are computed once and kept; each round then scores all rows without a label and brings the
-    picked ones (4 * EACH at most) to the driver. An id with several labels has the worst, one with several rows that of
+    Features of all rows are computed once and kept where they are; each round then guesses all rows, takes out those with
+    a label and brings the picked ones (4 * EACH at most) to the driver. An id with several labels has the worst, one with several rows that of
     the smallest kind. Null ids, and labels without an id or a value, are no labels.
     """
-    rows = durable(labelled(features(docs, key, text), labels))
-    some = rows.where("y is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(LABELLED)
+    rows, known = durable(features(docs, key, text)), durable(labelled(labels))
+    ids = rows.select("id", F.col("id").cast("string").alias("__k")).where("id is not null").distinct()
+    some = ids.join(known, "__k").select("id", "y").orderBy(F.xxhash64("id"), "id").limit(LABELLED)
     one = F.min(F.struct("kind", "y", "bins", "shapes", "meta")).alias("r")
-    got = rows.where("y is not null").join(F.broadcast(some), "id").groupBy("id").agg(one).orderBy(F.xxhash64("id"), "id").select("r.*").toArrow()
+    got = rows.join(F.broadcast(some), "id").groupBy("id").agg(one).orderBy(F.xxhash64("id"), "id").select("r.*").toArrow()
     y = np.array(got["y"].to_pylist(), float)
     part = np.where(np.arange(len(y)) % 5 < 2, np.arange(len(y)) % 5, 2)  # 0 calibrates, 1 tests, 2 teaches
     if min(((part == k) & (y == v)).sum() for k in (0, 2) for v in (0, 1)) < 1:
@@ -237,11 +249,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             view.fit(*sparse[k], target, use)
             view.calibrate(view.raw(*sparse[k], n)[: len(y)][part == 0], y[part == 0])
         if turn < ROUNDS - 1:
-            picked = surest(rows, views, edges, {k: np.array(sorted(v), np.int64) for k, v in taught.items()}, EACH)
+            picked = surest(rows, known, views, edges, {k: np.array(sorted(v), np.int64) for k, v in taught.items()}, EACH)
             new = sorted({kind for _, _, kind in picked} - of_kind.keys())
             if new:
                 wanted = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in new], "kind long"))
-                found = rows.where("y is null").join(wanted, "kind").groupBy("kind").agg(F.min(F.struct("bins", "shapes", "meta")).alias("r")).orderBy("kind").select("kind", F.lit(None).cast("int").alias("y"), "r.*").toArrow()
+                found = rows.join(wanted, "kind").groupBy("kind").agg(F.min(F.struct("bins", "shapes", "meta")).alias("r")).orderBy("kind").select("kind", F.lit(None).cast("int").alias("y"), "r.*").toArrow()
                 of_kind |= {kind: table.num_rows + i for i, kind in enumerate(found["kind"].to_pylist())}
                 table = pa.concat_tables([table, found.cast(table.schema)])
             for learner, value, kind in picked:
