@@ -175,15 +175,11 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("string").alias("__k")).agg(F.min(good).alias("y"))
 
 
-GUESS = "learner int, value int, sure double, kind long"
-
-
 def surest(rows: DataFrame, known: DataFrame, views: dict[str, View], edges: np.ndarray, taught: dict[str, np.ndarray], each: int) -> list[tuple[str, float, int]]:
     """(view that learns, value, kind) of the other view's surest guesses among all rows whose id isn't in `known`: `each` of either class, the surest first, ties by kind.
 
     Equal rows are one kind. taught: kinds that a view has learnt already. All rows are guessed, and of the guesses, not
-    of the features, those with a label are taken out by a join; then every task sends its own best. Null ids are
-    salted in the join, as many rows may have none.
+    of the features, those with a label are taken out by a join. Null ids are salted in it, as many rows may have none.
     """
     names = list(views)
 
@@ -198,18 +194,10 @@ def surest(rows: DataFrame, known: DataFrame, views: dict[str, View], edges: np.
                     at = np.flatnonzero((sure >= CONFIDENT) & ~np.isin(kind, taught[other]))
                     yield pa.RecordBatch.from_pydict({"learner": pa.array([1 - k] * len(at), pa.int32()), "value": pa.array([value] * len(at), pa.int32()), "sure": pa.array(sure[at]), "kind": pa.array(kind[at], pa.int64()), "id": b.column(0).take(pa.array(at))})
 
-    def best(batches):
-        for b in batches:
-            learner, value, sure, kind = (x.to_numpy() for x in b.columns)
-            for side in range(4):
-                at = np.flatnonzero(learner * 2 + value == side)
-                at = at[np.lexsort((kind[at], -sure[at]))]
-                yield b.take(pa.array(at[np.sort(np.unique(kind[at], return_index=True)[1])][:each]))
-
-    told = rows.select("id", "kind", "bins", "shapes", "meta").mapInArrow(guess, f"{GUESS}, id {rows.schema['id'].dataType.simpleString()}")
+    told = rows.select("id", "kind", "bins", "shapes", "meta").mapInArrow(guess, f"learner int, value int, sure double, kind long, id {rows.schema['id'].dataType.simpleString()}")
     salt = F.when(F.col("id").isNull(), F.pmod("kind", F.lit(1024))).otherwise(0).cast("int")
     told = told.select("*", F.col("id").cast("string").alias("__k"), salt.alias("__salt")).join(known.select("__k", F.lit(0).alias("__salt")), ["__k", "__salt"], "left_anti")
-    told = told.select("learner", "value", "sure", "kind").mapInArrow(best, GUESS).groupBy("learner", "value", "kind").agg(F.max("sure").alias("sure"))
+    told = told.groupBy("learner", "value", "kind").agg(F.max("sure").alias("sure"))
     # The first of each of SALTS parts; so 4 * SALTS * each rows at most come to the driver.
     first = F.row_number().over(Window.partitionBy("learner", "value", F.pmod("kind", F.lit(SALTS))).orderBy(F.desc("sure"), "kind"))
     found = sorted((r["learner"], r["value"], -r["sure"], r["kind"]) for r in told.withColumn("k", first).where(F.col("k") <= each).collect())
