@@ -301,3 +301,16 @@ def declined_compromises(spark, sf):
     none = F.lit(None).cast("double")
     r = F.struct(F.lit(3).alias("rooms"), F.lit(20000.0).alias("amount"), F.lit(True).alias("is_max"), none.alias("budget_pct"), F.lit(100.0).alias("min_area"), F.lit(200.0).alias("max_area"), none.alias("area_pct"), F.lit("Madrid").alias("city"), F.array(F.lit("Alicante")).alias("nearby"))
     return t(spark, sf, "part").select("p_partkey", R.declined(x, r, F.array(F.expr(_REFUSED))).alias("why"))
+
+
+# Halves of a search: a supplier's round i of 8 finds something unless 5 divides its key times i.
+@plan("""with recursive s(k, i, last, gone_a, gone_b, halves) as (
+    select s_suppkey, 0, 'b', false, false, '' from supplier
+    union all
+    select k, i + 1, coalesce(here, last), gone_a or (here = 'a' and not found), gone_b or (here = 'b' and not found), halves || coalesce(here, '')
+    from (select *, case when last = 'b' and not gone_a or gone_b and not gone_a then 'a' when not gone_b then 'b' end as here, (k * (i + 1)) % 5 <> 0 as found from s where i < 8))
+  select k as s_suppkey, halves from s where i = 8""")
+def search_halves(spark, sf):
+    """Which half wrote each round, for every supplier."""
+    filled = F.filter(F.sequence(F.lit(1), F.lit(8)), lambda i: (c("s_suppkey") * i) % 5 != 0)
+    return t(spark, sf, "supplier").select("s_suppkey", F.array_join(R.round_halves(filled, F.lit(8)), "").alias("halves"))
