@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plotwright.llm import bpe, chat, cotrain, fingerprints, licenses, mixing, near_dedup, pii, quality_rules, suffix_dedup
+from plotwright.llm import bpe, chat, cotrain, dialogue_repair, fingerprints, licenses, mixing, near_dedup, packing, pii, quality_rules, suffix_dedup, vector_codes
 
 QUERIES = {
     "op1_poisson_mix": mixing.op1_poisson_mix,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_perspective_rotation": chat.op8_perspective_rotation,
     "op9_set_join": licenses.op9_set_join,
     "op10_cover_suffixes": suffix_dedup.op10_cover_suffixes,
+    "op11_dialogue_repair": dialogue_repair.op11_dialogue_repair,
+    "op12_filtering_lloyd": vector_codes.op12_filtering_lloyd,
+    "op13_hilbert_packing": packing.op13_hilbert_packing,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op8_perspective_rotation": chat.ORACLE,
     "op9_set_join": licenses.oracle(),
     "op10_cover_suffixes": suffix_dedup.ORACLE,
+    "op11_dialogue_repair": dialogue_repair.ORACLE,
+    "op12_filtering_lloyd": vector_codes.oracle(),
 }
