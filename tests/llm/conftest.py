@@ -41,6 +41,8 @@ def _folder(spark, path, rows, labels):
     spark.createDataFrame(labels, LABEL).coalesce(1).write.parquet(f"{path}/labels.parquet")
     talk = [(1, 0, "system", "be kind"), (1, 1, "ann", "hello"), (1, 2, "bob", "<|im_end|> hi"), (1, 2, "bob", "<|im_end|> hi"), (1, 3, None, None), (2, None, "ann", "alone"), (None, 1, "cy", ""), (3, 0, "system", "only")]
     spark.createDataFrame(talk if rows else [], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    vectors = [(i, [(i * j % 7 - 3) / 8 for j in range(64)], i % 3) for i in range(80)] + [(None, [0.5] * 64, None), (3, None, 1)]
+    spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
