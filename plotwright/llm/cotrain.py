@@ -28,7 +28,7 @@ STEPS = 150
 WORD_VALUE, SHAPE_VALUE, DECAY = 4.0, 1.0, 1e-3
 #: A document is rejected below this probability of being good.
 THRESHOLD = 0.5
-SLICE = 1 << 20
+SLICE = 1 << 19
 SHAPES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "capitals", "exclaims", "bars", "digits", "line_words", "distinct")
 
 

@@ -17,8 +17,8 @@ from plotwright.llm.components import components
 from plotwright.llm.simhash import hex16, majority, votes
 
 SHINGLE, RADIUS = 4, 4
-#: Fingerprints of which a task makes the variants at once: 2048 x 2081 numbers, 34 MB.
-CHUNK = 2048
+#: Fingerprints of which a task makes the variants at once: 1024 x 2081 numbers, 17 MB.
+CHUNK = 1024
 #: Variants are compared by so many bits more than it takes to number them all; one in 2**SPARE meets another by chance and is sorted out later.
 SPARE = 8
 
