@@ -25,34 +25,60 @@ MEMORY, TOGETHER, BATCH_IDS = 1_000_000, 256, 1 << 21
 ORDERED = 1 << 20
 #: Stands between missed chunks. No other text has its id.
 BETWEEN = "\x01"
+#: Signs that may end a chunk of letters; letters of scripts that every table of Unicode agrees on stand below LETTERS.
+SIGNS, LETTERS = ".,;:!?)", "\u0530"
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space and never merges over it, so chunks between spaces are remembered."""
+    """Ids of whole texts by a tokenizer that drops white space and case and never merges over white space, so chunks between spaces are remembered.
+
+    A chunk of letters and a sign is put together from its word in lower case and the sign, so a word costs the
+    tokenizer one call whatever stands around it. Words are encoded many at once; each ends with the one id of its that
+    stands at ends of words.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
-        between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
-        if len(between) != 1 or len(self.tokenizer.encode("a b", add_special_tokens=False).ids) != 2:
-            raise ValueError("a tokenizer is needed that splits at white space and drops it")
-        self.between = between[0]
-
-    def learn(self, chunks: list[str]) -> None:
-        alone = [c for c in chunks if BETWEEN in c]
-        rest = [c for c in chunks if BETWEEN not in c]
-        for c in alone:
-            self.known[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.kind).tobytes()
-        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in groups], add_special_tokens=False)):
+        self.between = self.alone(BETWEEN)
+        if len(self.between) != self.kind.itemsize or self.alone("Ab cd.") != b"".join(map(self.alone, ("ab", "cd", "."))) or not self.ends[np.frombuffer(self.alone("ab"), self.kind)[-1]]:
+            raise ValueError("a tokenizer is needed that drops case and white space and marks ends of words")
+
+    def alone(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def cut(self, chunks: list[str], between: str, border) -> None:
+        """Remembers chunks, encoded many at once; border: where ids end a chunk, and how many ids stand between two."""
+        size, groups = self.kind.itemsize, [chunks[i : i + TOGETHER] for i in range(0, len(chunks), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([between.join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.kind)
-            cut = np.flatnonzero(ids == self.between)
-            for c, a, z in zip(group, [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]):
-                self.known[c] = ids[a:z].tobytes()
+            ends, skip = border(ids)
+            at, whole = 0, ids.tobytes()
+            for c, z in zip(group, (ends * size).tolist()):
+                self.known[c] = whole[at:z]
+                at = z + skip * size
+
+    def learn(self, chunks: set[str]) -> None:
+        made, odd = {}, []
+        for c in chunks:
+            word = c.rstrip(SIGNS)
+            low = word.lower()
+            if low.isalpha() and max(low) < LETTERS and "Σ" not in word:
+                made[c] = low, c[len(word) :]
+            else:
+                odd.append(c)
+        self.cut([w for w in {w for w, _ in made.values()} if w not in self.known], " ", lambda ids: (np.flatnonzero(self.ends[ids]) + 1, 0))
+        between = np.frombuffer(self.between, self.kind)[0]
+        self.cut([c for c in {*odd, *(sign for _, sign in made.values())} if c not in self.known and BETWEEN not in c], f" {BETWEEN} ", lambda ids: (np.append(np.flatnonzero(ids == between), len(ids)), 1))
+        self.known.update((c, self.alone(c)) for c in odd if BETWEEN in c)
+        self.known.update((c, self.known[w] + self.known[sign]) for c, (w, sign) in made.items() if c != w)
 
     def of(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").split(" ") for t in texts]
@@ -61,7 +87,7 @@ class WordIds:
         missed: set[str] = set()
         for c in chunks:
             missed.update(set(c).difference(self.known))
-        self.learn(list(missed))
+        self.learn(missed)
         return [b"".join(map(self.known.__getitem__, c)) for c in chunks]
 
 
