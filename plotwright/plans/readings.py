@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from plotwright.functions import answers as A
-from plotwright.functions import spans as S
+from plotwright.functions import clauses as S
 from plotwright.functions import text as X
 from plotwright.functions import urls as U
 from plotwright.operators import identity as I
@@ -150,11 +150,11 @@ _e, _f = "p_partkey % 5 <> 3", "p_partkey % 5 < 2"
   p_partkey % 4 >= 2 and p_partkey % 5 <> 0 as kept from part""")
 def hit_rules(spark, sf):
     """Predicates on search hits."""
-    h = written(spark, sf, "part", _HIT)
+    h = written(spark, sf, "part", _HIT).withColumn("shown", R.signals(c("title"), c("p_brand")))
     names = {"fr": ["france", "francia"], "pt": ["portugal"]}
     brand = c("p_brand")
     return h.select(
-        "p_partkey", R.figures(c("title"), brand).alias("figures"), R.evidence(c("title"), brand).alias("evidence"), R.host_allowed(c("host"), "off", c("title"), brand).alias("allowed_off"),
+        "p_partkey", R.figures(c("shown")).alias("figures"), R.evidence(c("shown")).alias("evidence"), R.host_allowed(c("host"), "off", c("title"), brand).alias("allowed_off"),
         R.host_allowed(c("host"), "on", c("title"), brand).alias("allowed_on"), R.host_allowed(c("host"), "strict", c("title"), brand, ("pisos.com",)).alias("allowed_strict"), R.foreign_tld(c("host2"), F.lit("es")).alias("tld"),
         R.foreign(c("country"), c("place"), c("host2"), c("currency"), F.lit("es"), F.lit("EUR"), names).alias("foreign_one"), X.mentions(c("place"), names["fr"]).alias("named"), R.not_an_offer(c("kind"), c("summary")).alias("no_offer"),
         R.looks_blocked(c("wall"), c("body")).alias("wall"), R.keep_query(c("query"), c("platform"), True, ("facebook",), ("facebook.com",)).alias("kept"),
@@ -170,7 +170,7 @@ _TEXTS = {
     "offer": "case p_partkey % 3 when 0 then 'Se alquila piso' when 1 then 'Se vende casa' else 'Se vende o se alquila' end",
     "term": "case p_partkey % 3 when 0 then 'alquiler de temporada' when 1 then 'larga estancia' else 'piso' end",
     "auction": "case p_partkey % 4 when 0 then 'Subasta judicial' when 1 then 'Sin subasta' when 2 then 'No es una subasta' else 'No hay prisa, venta normal y pronto en subasta' end",
-    "season": "case p_partkey % 3 when 0 then 'Solo temporada' when 1 then 'no vacacional' else 'larga estancia' end",
+    "season": "case p_partkey % 3 when 0 then 'Solo alquiler de temporada' when 1 then 'no es alquiler vacacional' else 'larga estancia' end",
     "ticket": f"'Ticket from ' || {SIZE} || 'k to ' || cast(p_size + 10 as string) || 'k €'",
     "goal": f"case p_partkey % 3 when 0 then 'desde ' || {SIZE} || '0 m2' when 1 then {SIZE} || ' ha or more' else 'house' end",
     "quote": "repeat('x', p_size) || ' term ' || repeat('y', 30)",
@@ -187,15 +187,17 @@ _TEXTS = {
   list_sort(list_filter([p_size * 100, 2, p_size * 5, 34, 600], lambda x: x < 1000).list_transform(lambda x: x::varchar) || [lpad((p_partkey % 1000)::varchar, 3, '0'), lpad((p_size * 7)::varchar, 3, '0')]) as numbers from part""")
 def post_facts(spark, sf):
     """Facts read from texts that were written from a row's numbers."""
-    p = written(spark, sf, "part", _TEXTS).withColumn("areas", S.areas(c("body"))).withColumn("range", F.get(S.ticket_ranges(c("ticket")), F.lit(0)))
-    stated = F.when(c("p_partkey") % 2 == 0, c("p_size") * 20).otherwise(c("p_size") * 60)
+    read = {"body": ("areas", "stated", "amounts", "phones"), "plan_text": ("zones",), "offer": ("signals",), "auction": ("auction",), "season": ("seasonal",), "ticket": ("ranges",)}
+    p = written(spark, sf, "part", _TEXTS).withColumns({f"read_{k}": S.reading(c(k), *v) for k, v in read.items()})
+    p = p.withColumns({"areas": c("read_body.areas"), "range": F.get("read_ticket.ranges", F.lit(0))})
+    stated, none = F.when(c("p_partkey") % 2 == 0, c("p_size") * 20).otherwise(c("p_size") * 60), F.lit(None)
     numbers = I.prepare(p.select(c("p_partkey").alias("id"), "body", *[F.lit(None).cast("string").alias(x) for x in ("city", "address", "district", "title", "agency")]), []).select(c("id").alias("p_partkey"), "numbers")
     read = p.select(
-        "p_partkey", S.plot_area(c("areas")).alias("plot_area"), S.largest_area(c("areas")).alias("largest"), F.size("areas").alias("n_areas"), S.area_conflict(stated, c("areas")).alias("conflict"), X.main_price(c("body")).alias("price"),
-        S.amounts(c("body")).alias("amounts"), X.phone_hashes(c("body")).alias("phones"), X.zones(c("plan_text")).alias("zones"), R.parcels(c("cadastre")).alias("parcels"), R.new_build(c("build")).alias("new_build"),
-        R.social_query_key(F.lit("group"), F.concat(F.lit("¡Pisos, "), c("p_brand"), F.lit("!"))).alias("query_key"), X.locale_number(c("number")).alias("number"), X.deal(c("offer")).alias("deal"), S.rental_term(c("term")).alias("term"),
-        S.auction_named(c("auction")).alias("auction"), S.seasonal_named(c("season")).alias("season"), c("range.low").alias("ticket_low"), c("range.high").alias("ticket_high"), c("range.currency").alias("ticket_currency"),
-        R.ticket_short(c("range.high"), c("range.currency"), F.lit(30000.0), F.lit("EUR")).alias("short"), R.min_area_of(c("goal")).alias("min_area"), S.quote_windows(c("quote"), "term", 10).alias("windows"),
+        "p_partkey", S.plot_area(c("areas")).alias("plot_area"), S.largest_area(c("areas")).alias("largest"), F.size("areas").alias("n_areas"), S.area_conflict(none, stated, none, none, c("read_body.stated")).alias("conflict"), X.main_price(c("body")).alias("price"),
+        c("read_body.amounts").alias("amounts"), X.phone_hashes(c("read_body.phones")).alias("phones"), c("read_plan_text.zones").alias("zones"), R.parcels(c("cadastre")).alias("parcels"), R.new_build(c("build")).alias("new_build"),
+        R.social_query_key(F.lit("group"), F.concat(F.lit("¡Pisos, "), c("p_brand"), F.lit("!"))).alias("query_key"), X.locale_number(c("number")).alias("number"), S.deal(c("read_offer.signals")).alias("deal"), S.rental_term(c("term")).alias("term"),
+        c("read_auction.auction").alias("auction"), c("read_season.seasonal").alias("season"), c("range.low").alias("ticket_low"), c("range.high").alias("ticket_high"), c("range.currency").alias("ticket_currency"),
+        R.ticket_short(c("range.high"), c("range.currency"), F.lit(30000.0), F.lit("EUR")).alias("short"), R.min_area_of(c("goal")).alias("min_area"), F.transform(S.quote_windows(c("quote"), [["term"]], 10), lambda q: q["quote"]).alias("windows"),
     )
     return read.join(numbers, "p_partkey")
 

@@ -12,8 +12,8 @@ def scalar(spark, f, *values):
 
 def test_hits(spark):
     none = lambda x: F.lit("")
-    assert scalar(spark, lambda x: S.figures(x, none(x)), "piso 120 m2", "desde 90.000 €", "precio") == [True, True, False]
-    assert scalar(spark, lambda x: S.evidence(x, none(x)), "Piso en venta", "Pisos 3 hab", "Casa bonita", "news 100 €", "Квартира 50 м2") == [True, True, False, False, True]
+    assert scalar(spark, lambda x: S.figures(S.signals(x, none(x))), "piso 120 m2", "desde 90.000 €", "precio") == [True, True, False]
+    assert scalar(spark, lambda x: S.evidence(S.signals(x, none(x))), "Piso en venta", "Pisos 3 hab", "Casa bonita", "news 100 €", "Квартира 50 м2", "Ático con tres habitaciones", "Obra nueva en venta", "дома, две комнаты") == [True, True, False, False, True, True, True, True]
     strict = lambda x: S.host_allowed(x, "strict", none(x), none(x), ("a.test",))
     assert scalar(spark, strict, "b.a.test", "c.test") == [True, False]
     assert scalar(spark, lambda x: S.host_allowed(F.lit("c.test"), "off", x, none(x)), "Piso en venta", "x") == [True, False]

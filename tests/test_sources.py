@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from plotwright.functions import answers as A
-from plotwright.functions import spans, text as X
+from plotwright.functions import clauses as C, text as X
 from plotwright.operators import html
 from plotwright.operators import matching as M
 from plotwright.sources import hits, jsonld, providers, social
@@ -82,25 +82,12 @@ def scalar(spark, f, *values):
     return [r.y for r in df.select("i", f(F.col("x")).alias("y")).orderBy("i").collect()]
 
 
-def test_areas_and_money(spark):
-    got = scalar(spark, spans.areas, "Parcela de 1.500 m2 con casa de 120 m²", "2 ha", "10,100m2 plot and 180m2 built", None, "5 soto")
-    assert [[(a.m2, a.kind) for a in r] for r in got] == [[(1500.0, "plot"), (120.0, "built")], [(20000.0, None)], [(10100.0, "plot"), (180.0, "built")], [], []]
-    assert scalar(spark, lambda x: spans.plot_area(spans.areas(x)), "plot 800 m2, plot of 900 m2", "flat 60 m2") == [900.0, None]
-    assert scalar(spark, spans.amounts, "€500k or 2 млн, 1 000 000 EUR, 120 m2, 7") == [[5e5, 2e6, 1e6]]
-    assert [(r.low, r.high, r.currency) for r in scalar(spark, spans.ticket_ranges, "tickets €10,000 - €100,000")[0]] == [(10000.0, 100000.0, "EUR")]
-    assert scalar(spark, spans.auction_named, "Subasta judicial", "no es una subasta", "casa") == [True, False, False]
-    assert scalar(spark, spans.seasonal_named, "alquiler de temporada", "larga estancia") == [True, False]
-    assert scalar(spark, lambda x: spans.area_conflict(F.lit(100.0), spans.areas(x)), "400 m2", "120 m2", "") == [True, False, False]
-    assert scalar(spark, spans.rental_term, "Short term stay", "larga estancia", "x") == ["short", "long", None]
-    assert scalar(spark, lambda x: F.size(spans.quote_windows(x, "sol", 5)), "a sol b sol c" + " " * 30 + "sol", "none") == [2, 0]
-
-
 def test_text_scalars(spark):
-    assert scalar(spark, X.locale_number, "1.234,5", "1,234.5", "12,5", "0", "x") == [1234.5, 1234.5, 12.5, None, None]
+    assert scalar(spark, X.locale_number, "1.234,5", "1,234.5", "12,5", "0", "x", "1 234", "1.234.567,8", "1234.567", "12.34.5", "1.500", "1,5 m", "") == [1234.5, 1234.5, 12.5, None, None, 1234.0, 1234567.8, 1234.567, None, 1500.0, None, None]
     assert scalar(spark, X.main_price, "199.000 €", "1200 € + 3000 €", "€ 5000 and 5000 euros", "500 €", None) == [199000.0, None, 5000.0, None, None]
-    assert scalar(spark, X.deal, "Se vende piso", "piso en alquiler", "venta y alquiler", None) == ["sale", "rent", None, None]
-    assert [len(x) for x in scalar(spark, X.phone_hashes, "+34 600 111 222 / 600111222", "12 34", None)] == [1, 0, 0]
-    assert scalar(spark, X.zones, "N.Z. 8.1.A y norma zonal 3") == [["3", "8.1.a"]]
+    assert scalar(spark, lambda x: C.deal(C.reading(x, "signals")["signals"]), "Se vende piso", "piso en alquiler", "venta y alquiler", None) == ["sale", "rent", None, None]
+    assert [len(x) for x in scalar(spark, lambda x: X.phone_hashes(C.reading(x, "phones")["phones"]), "+34 600 111 222 / 600111222", "12 34", None)] == [1, 0, 0]
+    assert scalar(spark, lambda x: C.reading(x, "zones")["zones"], "N.Z. 8.1.A y norma zonal 3") == [["3", "8.1.a"]]
     assert scalar(spark, X.house_number, "Calle Sol 12, 3", "Plaza Mayor") == ["12", None]
     assert scalar(spark, X.strong_ref, "ab12", "2024", "12345", "word") == [True, False, True, False]
     assert scalar(spark, lambda x: X.past_event(X.dates_named(x), F.lit("2024-06-01").cast("date")), "on 01.05.2024", "2024-05-01 and 2024-07-01", "soon") == [True, False, False]
