@@ -11,6 +11,7 @@ from plotwright.plans.registry import plan
 from plotwright.session import shared_dir
 from plotwright.session import table as t
 from plotwright.streaming import state as S
+from plotwright.streaming.leases import leases
 
 
 def _stream(spark, sf, name="events"):
@@ -81,3 +82,19 @@ def stale_reaper(spark, sf):
 def seen_before(spark, sf):
     """First sighting of each (user, type)."""
     return first_per(t(spark, sf, "events"), ["user_id", "event_type"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_type", "ts")
+
+
+@plan("""with recursive o as materialized (select user_id, event_id, (event_id % 3)::varchar as worker, event_type = 'purchase' as finish, floor(epoch(ts))::bigint as t, row_number() over (partition by user_id order by floor(epoch(ts)), event_id) as i from events),
+  r as (select user_id, event_id, worker, t, i, case when finish then 'lost' else 'claimed' end as verdict, case when not finish then worker end as holder, t as since, false as done from o where i = 1
+    union all
+    select o.user_id, o.event_id, o.worker, o.t, o.i, v.verdict, case when v.verdict in ('finished', 'claimed', 'taken_over', 'again') then o.worker else r.holder end,
+      case when v.verdict in ('finished', 'claimed', 'taken_over', 'again') then o.t else r.since end, case when v.verdict = 'finished' then true when v.verdict in ('claimed', 'taken_over', 'again') then false else r.done end
+    from r join o on o.user_id = r.user_id and o.i = r.i + 1, lateral (select case
+      when o.finish then case when r.holder = o.worker and not r.done then 'finished' else 'lost' end
+      when r.holder is null then 'claimed' when r.done then case when o.t - r.since > 259200 then 'again' else 'done' end
+      when o.t - r.since > 21600 then 'taken_over' else 'busy' end as verdict) v)
+  select user_id::varchar as key, event_id as n, worker, t, verdict from r""")
+def leased_claims(spark, sf):
+    """Users as keys, three workers that ask for them and finish with a purchase: leases of six hours, results of three days."""
+    s = _stream(spark, sf).withColumn("worker", F.col("event_id") % 3).withColumn("finish", F.col("event_type") == "purchase")
+    return _finish(spark, leases(s, "user_id", "event_id", "worker", "finish", "ts", 21600, 259200))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plotwright.functions import text as X
+from plotwright.operators import places
 from plotwright.plans.registry import plan
 from plotwright.session import spread
 from plotwright.session import table as t
@@ -127,3 +128,44 @@ def agency_keys(spark, sf):
     p = t(spark, sf, "part")
     r = X.ref_key(F.col("p_brand"))
     return p.select("p_partkey", X.agency_key(F.concat("p_brand", F.lit(" S.L."))).alias("agency"), r.alias("ref"), X.strong_ref(r).alias("strong"))
+
+
+# Names of one to three words, cut out of the benchmark's items.
+_NAMES = """(select distinct array_to_string(w[a:z], ' ') as key from (select regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from benchmark), (values (1, 2), (4, 6), (8, 8), (5, 5)) c(a, z) where len(w) >= z)"""
+
+
+@plan(f"""with recursive n as materialized (select key, len(string_split(key, ' ')) as n from {_NAMES}),
+  d as (select doc_id, regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+') as w from documents),
+  hits as materialized (select doc_id, i as pos, n.n, n.key from (select doc_id, w, unnest(range(0, len(w))) as i from d) join (values (1), (2), (3)) l(k) on i + k <= len(w) join n on n.n = k and n.key = array_to_string(w[i + 1:i + k], ' ')),
+  held as (select doc_id, min(pos) as pos, arg_max(n, (-pos) * 10 + n) as n, arg_max(key, (-pos) * 10 + n) as key from hits group by doc_id
+    union all select h.doc_id, min(h.pos), arg_max(h.n, (-h.pos) * 10 + h.n), arg_max(h.key, (-h.pos) * 10 + h.n) from held join hits h on h.doc_id = held.doc_id and h.pos >= held.pos + held.n group by h.doc_id)
+  select doc_id, key, pos::int as pos, n::int as n_words from held""")
+def phrases_named(spark, sf):
+    """Names of a table in all documents: the longest at each place, from left to right."""
+    w = X.words(X.fold(F.col("text")))
+    runs = [F.when(F.size("w") >= z, F.array_join(F.slice("w", a, z - a + 1), " ")) for a, z in ((1, 2), (4, 6), (8, 8), (5, 5))]
+    names = t(spark, sf, "benchmark").select(w.alias("w")).select(F.explode(F.array(*runs)).alias("name"))
+    return places.phrase_hits(spread(t(spark, sf, "documents")), names)
+
+
+# Places of customers: their nation alone, with another one, beside a slash, or in a province's name.
+_PLACE = """(select c_custkey, case c_custkey % 5 when 0 then 'Calle 1, ' || a.n_name when 1 then lower(a.n_name) || ' (' || b.n_name || ')' when 2 then a.n_name || '/' || b.n_name when 3 then a.n_name || 'X; x' else a.n_name || ' | ' || a.n_name end as place
+  from customer join nation a on c_nationkey = a.n_nationkey join nation b on b.n_nationkey = (c_nationkey * 3 + c_custkey % 2) % 25)"""
+
+
+@plan(f"""with p as (select c_custkey, unnest(string_split_regex(place, '[,;()|/]')) as part from {_PLACE}),
+  f as (select distinct c_custkey, n_name, r_name from p join nation on lower(trim(part)) = lower(n_name) join region on n_regionkey = r_regionkey where n_nationkey % 6 <> 0)
+  select c_custkey, case when count(distinct r_name) = 1 then [min(r_name)] end as regions from (select c_custkey from customer) left join f using (c_custkey) group by c_custkey""")
+def place_regions(spark, sf):
+    """The region that all nations named by a customer's place have in common; every sixth nation's name is a province's as well and alone is no town."""
+    n = t(spark, sf, "nation")
+    a, b = n.select(F.col("n_nationkey").alias("ka"), F.col("n_name").alias("a")), n.select(F.col("n_nationkey").alias("kb"), F.col("n_name").alias("b"))
+    c = t(spark, sf, "customer")
+    k = F.col("c_custkey")
+    rows = c.join(F.broadcast(a), F.col("c_nationkey") == F.col("ka")).join(F.broadcast(b), F.col("kb") == (F.col("c_nationkey") * 3 + k % 2) % 25)
+    place = (
+        F.when(k % 5 == 0, F.concat(F.lit("Calle 1, "), "a")).when(k % 5 == 1, F.concat(F.lower("a"), F.lit(" ("), "b", F.lit(")"))).when(k % 5 == 2, F.concat("a", F.lit("/"), "b"))
+        .when(k % 5 == 3, F.concat("a", F.lit("X; x"))).otherwise(F.concat("a", F.lit(" | "), "a"))
+    )
+    towns = n.join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("region"))
+    return places.regions_of_places(rows.select(k, place.alias("place")), towns, n.where("n_nationkey % 6 = 0").select(F.col("n_name").alias("name")), "c_custkey")
