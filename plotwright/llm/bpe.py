@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plotwright.llm.common import dealt_documents
+from plotwright.llm.common import dealt_documents, fresh
 
 NONE = np.int32(0x7FFFFFFF)
 #: Characters of text split at once; cells of a matrix; pieces that a worker remembers.
@@ -267,11 +267,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
     """The columns `keep`, n_tokens, ids_sha256 and decoded_sha256 of each row: decode(encode(docs), digests=True) in one worker a task, without the ids leaving it.
 
     A null text is empty; an empty text has no tokens and the digests of the empty string; null keys are kept; repeated
-    rows give a row each; a text of one endless piece takes time n * sqrt(n). Columns outside `keep` are left out; two names in
-    `keep` must not be those that are added. An empty table gives an empty one.
+    rows give a row each; a text of one endless piece takes time n * sqrt(n). Columns outside `keep` are left out; one in
+    `keep` that has the name of an added column gives way to it. An empty table gives an empty one.
     """
+    keep = tuple(c for c in keep if c.lower() not in ("n_tokens", "ids_sha256", "decoded_sha256"))
     file = load(docs.sparkSession, path)
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias(fresh(list(keep), "__text")))
     sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches):
@@ -284,8 +285,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
                 new = [pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(list(map(sha, coded))), back]
                 yield pa.RecordBatch.from_arrays([*(b.column(k)[i:j] for k in range(len(keep))), *new], names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    ddl = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{ddl}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    ddl = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    return rows.mapInArrow(run, f"{ddl}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_vocabulary() -> tuple[str, str]:

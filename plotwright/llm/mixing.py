@@ -84,14 +84,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: floa
     """All columns of docs plus n_copies, copy_no (from 1) and mix_key, in an order shuffled over the whole corpus.
 
     Every document is repeated as often as a Poisson variable with its source's rate says, whose uniform number is a
-    hash of the seed and the key: the same document has the same count in every run, wherever it is computed. Rows with
-    the same key have the same count; a null key, source or text counts as a value of its own (text: empty). Columns of
-    docs with the added names (in any case of letters) are replaced. A text of any length is carried whole; ties of the
-    hash can't matter, since it orders copies only within a partition. A document with very many copies is dealt over
-    tasks in blocks. An empty table gives an empty one.
+    hash of the seed, the key and the text: the same document has the same count in every run, wherever it is computed.
+    Rows with the same key and text have the same count and the same mix_key for each copy; a null key, source or text
+    counts as a value of its own (text: empty). Columns of docs with the added names (in any case of letters) are
+    replaced. A text of any length is carried whole. Partitions are dealt by mix_key and by a number that no two rows
+    share, so neither rows without a key nor equal rows meet in one task; ties of the hash can't matter, since it orders
+    copies only within a partition. A document with very many copies is dealt over tasks in blocks. An empty table gives
+    an empty one.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_copies", "copy_no", "mix_key")])
-    of, table, draw, salt, part, block = (fresh(docs.columns, c) for c in ("__of", "__table", "__draw", "__salt", "__part", "__block"))
+    of, table, draw, salt, part, block, body, row = (fresh(docs.columns, c) for c in ("__of", "__table", "__draw", "__salt", "__part", "__block", "__body", "__row"))
     rates = source_rates(docs, weights, default_weight, epochs, source, text).select(F.col("__source").alias(of), F.col("__rate").alias("rate"))
     tables = durable(poisson_tables(rates, of, "rate").select(of, F.struct("rate", "low", "step", "ends", "whole").alias(table)))
     size = tables.agg(F.sum(F.size(f"{table}.ends")), F.max(F.col(f"{table}.low") + F.col(f"{table}.step") * F.size(f"{table}.ends"))).first()
@@ -99,21 +101,24 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], default_weight: floa
     if (size[0] or 0) <= BROADCAST_ENTRIES:
         joined = docs.join(F.broadcast(tables), same, "left")
     else:
-        spread = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(key)), F.lit(SALTS)).cast("int"))
+        spread = docs.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         tables = tables.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = spread.join(tables, same & (F.col(salt) == F.col(part)), "left").drop(salt, part)
-    out = joined.withColumn(draw, uniform(seed, F.col(key))).withColumn("n_copies", poisson_inverse(F.col(draw), F.col(table))).where("n_copies > 0").select(*docs.columns, "n_copies")
+    joined = joined.withColumn(body, F.md5(F.coalesce(F.col(text), F.lit(""))))
+    held = [*docs.columns, body]
+    out = joined.withColumn(draw, uniform(seed, F.col(key), F.col(body))).withColumn("n_copies", poisson_inverse(F.col(draw), F.col(table))).where("n_copies > 0").select(*held, "n_copies")
     one, n = F.lit(1).cast("long"), F.col("n_copies")
-    copies = lambda df, first, last: df.select(*docs.columns, "n_copies", F.explode(F.sequence(first, last)).alias("copy_no"))
+    copies = lambda df, first, last: df.select(*held, "n_copies", F.explode(F.sequence(first, last)).alias("copy_no"))
     if (size[1] or 0) <= SPLIT:  # no source's numbers get there
         out = copies(out, one, n)
     else:
         blocks = out.where(n > SPLIT).withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SPLIT))))
-        blocks = blocks.repartition(F.col(block), F.xxhash64(F.col(key)))
+        blocks = blocks.repartition(F.col(block), F.monotonically_increasing_id())
         out = copies(out.where(n <= SPLIT), one, n).unionByName(copies(blocks, F.col(block) * SPLIT + 1, F.least(n, (F.col(block) + 1) * SPLIT)))
-    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy_no").cast("string"))))
-    # A hash decides the partition and the place in it, which permutes the whole corpus without a sampling pass.
-    return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key")
+    out = out.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed + 1)), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(body), F.col("copy_no").cast("string"))))
+    # Hashes decide the partition and the place in it, which permutes the whole corpus without a sampling pass.
+    dealt = out.withColumn(row, F.monotonically_increasing_id()).repartition(F.col("mix_key"), F.col(row))
+    return dealt.sortWithinPartitions("mix_key").drop(body, row)
 
 
 #: Production mix: shares of code points in the result, by source; sources that aren't named get the default.
@@ -138,10 +143,10 @@ p(source, rate, k, log_p, cdf) as (
   select source, rate, k + 1, log_p + ln(rate / (k + 1)), cdf + exp(log_p + ln(rate / (k + 1))) from p where k < ceil(rate + 12 * sqrt(rate) + 30)),
 l as (select source, list(cdf order by k) as cdf from p group by source),
 d as (
-  select documents.*, len(list_filter(l.cdf, lambda c: c < ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0)) as n_copies
+  select documents.*, len(list_filter(l.cdf, lambda c: c < ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 13))::bigint / 4503599627370496.0)) as n_copies
   from documents join l on documents.source is not distinct from l.source),
 e as (select *, unnest(range(1, n_copies + 1)) as copy_no from d where n_copies > 0)
 select doc_id, text, lang, source, n_chars, n_copies::bigint as n_copies, copy_no::bigint as copy_no,
-       md5('43:' || coalesce(doc_id::varchar, 'null') || ':' || copy_no::varchar) as mix_key
+       md5('43:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, '')) || ':' || copy_no::varchar) as mix_key
 from e
 """

@@ -144,3 +144,13 @@ def test_pipeline_keeps_most_clean_documents(spark):
 
 def test_pipeline_on_nothing(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_mix_without_ids_is_no_hot_key(spark):
+    """A third of the rows without an id, and as many equal ones: partitions stay alike, and rows of different texts draw for themselves."""
+    docs = spark.range(6000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 1, F.lit("same text")).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"))
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 1, F.lit(7)).otherwise(F.col("doc_id")))
+    mixed = mixing.mix_sources(docs, {}, epochs=2.0)
+    sizes = [r["count"] for r in mixed.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1.3 * sum(sizes) / len(sizes)
+    assert mixed.where("doc_id is null").select("n_copies").distinct().count() > 3

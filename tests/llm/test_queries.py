@@ -685,3 +685,10 @@ def test_op10_leaves_no_table(spark, odd, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         suffix_dedup.repeated(spark.read.parquet(f"{odd}/documents.parquet"))
     assert spark.sql("show databases").count() == before
+
+
+def test_round_trip_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, "x", "mine", "t"), (2, None, None, None)], "n_tokens int, text string, ids_sha256 string, __text string")
+    path, pattern = bpe.public_vocabulary()
+    got = bpe.round_trip(docs, path, pattern, keep=("n_tokens", "__text", "ids_sha256")).collect()
+    assert [(r["__text"], r.n_tokens, r.ids_sha256 != "mine") for r in got] == [("t", 1, True), (None, 0, True)]
