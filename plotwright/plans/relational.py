@@ -219,14 +219,15 @@ def last_writer(spark, sf):
 
 
 @plan("""with o as (select user_id, case when max(event_id) % 3 = 0 then 'failed' when max(event_id) % 3 = 1 then 'done' else 'queued' end as state
-  from events where event_id % 2 = 0 group by 1), n as (select distinct user_id from events where event_id % 5 = 1)
+  from events where event_type <> 'purchase' group by 1), n as (select distinct user_id from events where event_type = 'purchase')
   select coalesce(o.user_id, n.user_id) as user_id, case when o.state is null then 'queued' when n.user_id is not null and o.state = 'failed' then 'queued' else o.state end as state,
   o.state is null as inserted from o full join n on o.user_id = n.user_id""")
 def requeue(spark, sf):
-    e = t(spark, sf, "events").select("user_id", "event_id")
+    """Purchases ask for their users again; all other events say where the users stood."""
+    e = t(spark, sf, "events").select("user_id", "event_id", "event_type")
     last = F.max("event_id") % 3
     state = F.when(last == 0, "failed").when(last == 1, "done").otherwise("queued")
-    return R.requeue(e.where("event_id % 2 = 0").groupBy("user_id").agg(state.alias("state")), e.where("event_id % 5 = 1"), "user_id", ("failed",))
+    return R.requeue(e.where("event_type <> 'purchase'").groupBy("user_id").agg(state.alias("state")), e.where("event_type = 'purchase'").select("user_id", "event_id"), "user_id", ("failed",))
 
 
 @plan("""select l_partkey, arg_max(l_extendedprice, (case when l_linestatus = 'F' then 1 else 0 end) * 1000000000000 + l_orderkey * 10 + l_linenumber) as usd,
@@ -236,14 +237,15 @@ def keyed_cost(spark, sf):
     return R.keep_actual(e, "l_partkey", "actual", "seq").select("l_partkey", "usd", "actual")
 
 
-@plan("""select coalesce(a.s_suppkey, b.s_suppkey) as s_suppkey, case when a.s_suppkey is null then 'insert' when b.s_suppkey is null then 'delete' else 'update' end as operation
+@plan("""select coalesce(a.s_suppkey, b.s_suppkey) as s_suppkey, case when a.s_suppkey is null then 'insert' when b.s_suppkey is null then 'delete' else 'update' end as operation,
+  '{"s_suppkey":' || a.s_suppkey || ',"bal":' || a.bal::bigint || '}' as old_row, '{"s_suppkey":' || b.s_suppkey || ',"bal":' || b.bal::bigint || '}' as new_row
   from (select s_suppkey, round(s_acctbal) as bal from supplier where s_suppkey % 7 <> 0) a full join
   (select s_suppkey, case when s_suppkey % 3 = 0 then round(s_acctbal) + 1 else round(s_acctbal) end as bal from supplier where s_suppkey % 5 <> 0) b on a.s_suppkey = b.s_suppkey
   where a.bal is distinct from b.bal""")
 def audit_log(spark, sf):
-    s = t(spark, sf, "supplier").select("s_suppkey", F.round("s_acctbal").alias("bal"))
+    s = t(spark, sf, "supplier").select("s_suppkey", F.round("s_acctbal").cast("long").alias("bal"))
     new = s.where("s_suppkey % 5 <> 0").withColumn("bal", F.when(F.col("s_suppkey") % 3 == 0, F.col("bal") + 1).otherwise(F.col("bal")))
-    return R.audit(s.where("s_suppkey % 7 <> 0"), new, "s_suppkey").select("s_suppkey", "operation")
+    return R.audit(s.where("s_suppkey % 7 <> 0"), new, "s_suppkey").select("s_suppkey", "operation", "old_row", "new_row")
 
 
 @plan("""select count(*) filter (where ts < (select max(ts) from events) - interval 20 day) as n_old from events""")
@@ -383,10 +385,10 @@ def hit_merge(spark, sf):
     return R.merge_hits(hits, "key", "rank", "backend", 60).select("key", "backend", F.col("rank").cast("long"))
 
 
-@plan("""select l_partkey as url, round(sum(1.0 / l_linenumber), 6) as score, count(distinct l_suppkey) as engines from lineitem group by 1 order by score desc, url limit 100""")
+@plan("""select l_partkey as url, round(sum(1.0 / l_linenumber), 6) as score, count(distinct l_suppkey) as engines from lineitem group by 1""")
 def metasearch_score(spark, sf):
     g = t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("url")).agg(F.round(F.sum(1.0 / F.col("l_linenumber")), 6).alias("score"), F.count_distinct("l_suppkey").alias("engines"))
-    return g.orderBy(F.desc("score"), "url").limit(100)
+    return g.orderBy(F.desc("score"), "url")
 
 
 @plan("""select o_orderkey, o_orderdate + interval 36 hour as due, (date_diff('second', o_orderdate, timestamp '1999-01-01') / 60.0)::double as minutes from orders""")
@@ -447,9 +449,9 @@ def json_array_lateral(spark, sf):
     return stored.select(F.explode(F.from_json("j", "array<string>")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@plan("""select lane, item, turn from (select l_returnflag as lane, l_orderkey * 10 + l_linenumber as item, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber) as turn from lineitem) order by turn, lane limit 30""")
+@plan("""select l_suppkey as lane, l_orderkey * 10 + l_linenumber as item, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) as turn from lineitem""")
 def interleaved_lanes(spark, sf):
-    lanes = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("lane"), "l_orderkey", "l_linenumber")
-    few = R.last_n(lanes, ["lane"], [F.col("l_orderkey"), F.col("l_linenumber")], 30)  # no lane gives more than the limit
-    turned = R.round_robin(few, ["lane"], [F.col("l_orderkey"), F.col("l_linenumber")])
-    return turned.orderBy("turn", "lane").limit(30).select("lane", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("turn").cast("long"))
+    """Every item of every lane, by turns."""
+    lanes = t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("lane"), "l_orderkey", "l_linenumber")
+    turned = R.round_robin(lanes, ["lane"], [F.col("l_orderkey"), F.col("l_linenumber")])
+    return turned.orderBy("turn", "lane").select("lane", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("turn").cast("long"))
