@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plotwright.functions import text as X
 from plotwright.functions.urls import let
+from plotwright.session import durable, sized
 
 BUCKETS = ("exact", "similar", "other", "excluded")
 FAR = float("inf")
@@ -217,3 +219,19 @@ def run_score(good: Column, sent: Column, available: Column) -> Column:
     """Good cards over what was sent or could have been (five at most); null without either."""
     base = F.greatest(sent, F.least(F.lit(5), available))
     return F.when(base > 0, good / base)
+
+
+def stem_hits(texts: DataFrame, stems: DataFrame, id: str, text: str, kinds: tuple[str, ...], most: int = 1_000_000) -> DataFrame:
+    """id and, for each kind, how many stems of a table (stem, kind) begin a word of the text.
+
+    A text's distinct words meet the table by their beginnings of the stems' lengths, so the table may have any size: it is
+    broadcast up to `most` rows (counted), else joined by hash. Null and empty stems hit nothing; rows of one id count
+    together; a text without words has zeros. Stems and texts are folded.
+    """
+    known = durable(stems.select(X.fold(F.col("stem")).alias("stem"), "kind").where("stem != ''").distinct())
+    lengths = sorted(r.n for r in known.select(F.char_length("stem").alias("n")).distinct().collect())  # as many as a word has letters
+    words = texts.select(F.col(id).alias("id"), F.explode(F.array_distinct(X.words(X.fold(F.col(text))))).alias("word"))
+    begins = words.select("id", F.explode(F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.char_length("word")), lambda n: F.substr("word", F.lit(1), n))).alias("stem")).distinct()
+    hits = begins.join(sized(known, most), "stem").groupBy("id").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    every = texts.select(F.col(id).alias("id")).distinct().join(hits, "id", "left")
+    return every.select(F.col("id").alias(id), *[F.coalesce(k, F.lit(0)).cast("int").alias(k) for k in kinds])

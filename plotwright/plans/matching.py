@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from plotwright.functions import specs
+from plotwright.functions import text as X
 from plotwright.operators import matching as M
+from plotwright.operators.judge import judge_texts
 from plotwright.plans.registry import plan
+from plotwright.session import shared_dir, spread
 from plotwright.session import table as t
 from plotwright.sources.listings import SQL, listings
 
@@ -179,3 +185,64 @@ def merged_hits(spark, sf):
     from plotwright.operators import rules as S
 
     return S.merged_hits(listings(spark, sf), "site", "title", "city")
+
+
+# Stems of places, topics and what is off topic: beginnings of the words at three places of the benchmark's items.
+_STEMS = """(select distinct substr(w[1], 1, 4) as stem, 'places' as kind from b where len(w) >= 1 union select distinct substr(w[3], 1, 5), 'topic' from b where len(w) >= 3 union select distinct substr(w[5], 1, 6), 'off' from b where len(w) >= 5)"""
+
+
+@plan(f"""with b as (select regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') as w from benchmark), s as materialized {_STEMS},
+  d as (select doc_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{{L}}\\p{{N}}]+'))) as word from documents),
+  h as (select distinct doc_id, stem, kind from d, (values (1), (2), (3), (4), (5), (6)) l(n) join s on true where length(word) >= n and length(stem) = n and substr(word, 1, n) = stem),
+  c as (select doc_id, count(*) filter (where kind = 'places') as places, count(*) filter (where kind = 'topic') as topic, count(*) filter (where kind = 'off') as off from h group by 1),
+  r as (select d.doc_id, coalesce(places, 0)::int as places, coalesce(topic, 0)::int as topic, coalesce(off, 0)::int as off from documents d left join c using (doc_id))
+  select *, case when places > 0 then round(greatest(0.0, least(1.0, 0.4 + case when topic > 0 then 0.4 + 0.1 * least(topic - 1, 2) else 0 end - 0.5 * off)), 3) else 0.0 end::double as score from r""")
+def group_words(spark, sf):
+    """Relevance of every document by the words of a dictionary that begin its words."""
+    w = X.words(X.fold(F.col("text")))
+    b = t(spark, sf, "benchmark").select(w.alias("w"))
+    stem = lambda at, n, kind: b.where(F.size("w") >= at).select(F.substr(F.get("w", F.lit(at - 1)), F.lit(1), F.lit(n)).alias("stem"), F.lit(kind).alias("kind"))
+    hits = M.stem_hits(spread(t(spark, sf, "documents")), stem(1, 4, "places").union(stem(3, 5, "topic")).union(stem(5, 6, "off")), "doc_id", "text", ("places", "topic", "off"))
+    return hits.withColumn("score", M.group_relevance(F.col("places"), F.col("topic"), F.col("off"), F.lit(False))["score"])
+
+
+@plan("""select p_partkey, coalesce(nullif(trim(b.title), ''), a.title) as title, coalesce(nullif(b.city, ''), a.city) as city, coalesce(b.radius, a.radius) as radius, case when len(b.rooms) > 0 then b.rooms else a.rooms end as rooms,
+  list_sort(list_distinct(list_concat(a.must, b.must))) as must, a.mode as mode,
+  list_filter(['title', 'place.city', 'place.radius'], lambda p: case p when 'title' then coalesce(nullif(trim(coalesce(nullif(trim(b.title), ''), a.title)), ''), '') = '' when 'place.city' then coalesce(nullif(b.city, ''), nullif(a.city, '')) is null else coalesce(b.radius, a.radius) is null end) as open
+  from (select p_partkey, {'title': split_part(p_name, ' ', 1), 'city': case when p_size > 20 then split_part(p_name, ' ', 2) end, 'radius': case when p_size > 35 then p_size * 1.0 end::double, 'rooms': string_split(p_name, ' ')[1:2], 'must': string_split(p_name, ' ')[2:3], 'mode': p_brand} as a,
+    {'title': case when p_size % 2 = 0 then '  ' else p_brand end, 'city': case when p_size < 10 then '' when p_size < 30 then p_brand end, 'radius': case when p_size < 25 then p_size / 2.0 end::double, 'rooms': case when p_size > 12 then string_split(p_brand, '#') else [] end, 'must': string_split(p_name, ' ')[1:2]} as b from part)""")
+def merged_specs(spark, sf):
+    """Specifications of parts, merged field by field over three levels, and what they leave open."""
+    size, brand, none = F.col("p_size"), F.col("p_brand"), F.array().cast("array<string>")
+    word = F.split("p_name", " ")
+    old = F.struct(
+        F.get(word, F.lit(0)).alias("title"), F.struct(F.when(size > 20, F.get(word, F.lit(1))).alias("city"), F.struct(F.when(size > 35, size * 1.0).cast("double").alias("radius")).alias("zone")).alias("place"),
+        F.slice(word, 1, 2).alias("rooms"), F.slice(word, 2, 2).alias("must"), brand.alias("mode"),
+    )
+    new = F.struct(
+        F.when(size % 2 == 0, "  ").otherwise(brand).alias("title"),
+        F.struct(F.when(size < 10, "").when(size < 30, brand).alias("city"), F.when(size < 25, F.struct((size / 2.0).cast("double").alias("radius"))).alias("zone")).alias("place"),
+        F.when(size > 12, F.split(brand, "#")).otherwise(none).alias("rooms"), F.slice(word, 1, 2).alias("must"), F.lit("other").alias("mode"),
+    )
+    p = t(spark, sf, "part").select("p_partkey", old.alias("old"), new.alias("new"))
+    kind = p.schema["old"].dataType
+    p = p.withColumn("m", specs.deep_merge(F.col("old"), F.col("new"), kind, keep=("mode",), gather=("must",)))
+    asked = F.array(*map(F.lit, ("title", "place.city", "place.zone.radius", "unknown")))
+    left = F.transform(specs.still_open(F.col("m"), kind, asked), lambda x: F.replace(x, F.lit("zone."), F.lit("")))
+    return p.select("p_partkey", "m.title", "m.place.city", "m.place.zone.radius", "m.rooms", F.sort_array("m.must").alias("must"), "m.mode", left.alias("open"))
+
+
+@plan(r"""select doc_id, case when text is null then null when len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) = 0 then null when len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: w in ('the', 'die', 'la', 'les'))) > 4 then 'yes' else 'no' end as verdict from documents""")
+def judged_texts(spark, sf):
+    """Verdicts of a judge on every document: a first run within a budget, a second one for the rest, a third one that asks nothing."""
+
+    def judge(texts):
+        import regex
+
+        words = [regex.findall(r"[\p{L}\p{N}]+", x.lower()) for x in texts]
+        return [None if not w else "yes" if sum(x in ("the", "die", "la", "les") for x in w) > 4 else "no" for w in words]
+
+    docs, path = spread(t(spark, sf, "documents")).select("doc_id", "text"), f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}"
+    for budget in (200.0, float("inf"), 0.0):
+        told = judge_texts(docs, judge, path, "v1", budget=budget, per_call=1.0, per_char=0.001)
+    return told.select("doc_id", "verdict")

@@ -98,3 +98,18 @@ def leased_claims(spark, sf):
     """Users as keys, three workers that ask for them and finish with a purchase: leases of six hours, results of three days."""
     s = _stream(spark, sf).withColumn("worker", F.col("event_id") % 3).withColumn("finish", F.col("event_type") == "purchase")
     return _finish(spark, leases(s, "user_id", "event_id", "worker", "finish", "ts", 21600, 259200))
+
+
+@plan("""select event_id, user_id, ts from events where event_type = 'purchase'""")
+def finding_stream(spark, sf):
+    """Purchases in order of time under the number of their batch; a batch that comes again writes itself over."""
+    base = f"{shared_dir(spark)}/findings-{uuid.uuid4().hex}"
+    s = _stream(spark, sf).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    sink = S.ordered_sink(f"{base}/rows", [F.col("ts"), F.col("event_id")])
+
+    def twice(batch, epoch):
+        sink(batch, epoch)
+        sink(batch, epoch)
+
+    s.writeStream.foreachBatch(twice).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows").select("event_id", "user_id", "ts")
