@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plotwright.functions import clauses as C
 from plotwright.functions import text as X
 from plotwright.operators import places
 from plotwright.plans.registry import plan
@@ -169,3 +170,46 @@ def place_regions(spark, sf):
     )
     towns = n.join(t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.col("r_name").alias("region"))
     return places.regions_of_places(rows.select(k, place.alias("place")), towns, n.where("n_nationkey % 6 = 0").select(F.col("n_name").alias("name")), "c_custkey")
+
+
+def _planted(sentence: str, text: str, k: int) -> str:
+    """text with a sentence at a place that a hash of the id chooses; both engines read it alike."""
+    cut = f"cast(floor(length({text}) * ((doc_id * {7919 + 2 * k} + {k}) % 997) / 997.0) as int)"
+    return f"substr({text}, 1, {cut}) || '. ' || {sentence} || '. ' || substr({text}, {cut} + 1)"
+
+
+_N = "((doc_id * 31 + 7) % 90000 + 12)"
+_SIZE = f"case when doc_id % 3 = 0 or {_N} < 1000 then cast({_N} as varchar(9)) else cast(cast(floor({_N} / 1000.0) as int) as varchar(9)) || '.' || lpad(cast({_N} % 1000 as varchar(9)), 3, '0') end"
+_OWNER = "case (doc_id * 17) % 11 when 0 then 'parcela' when 1 then 'terreno' when 2 then 'finca' when 3 then 'casa' when 4 then 'chalet' when 5 then 'vivienda' when 6 then 'piso' when 7 then 'loft' when 8 then 'terraza' when 9 then 'garaje' else 'bonita' end"
+_AREA = f"case (doc_id * 13) % 7 when 0 then {_OWNER} || ' de ' || {_SIZE} || ' m2' when 1 then {_SIZE} || ' m2 de ' || {_OWNER} when 2 then {_OWNER} || ', ' || {_SIZE} || ' m2' when 3 then '3 banos en ' || {_OWNER} || ' de ' || {_SIZE} || ' m2' when 4 then {_OWNER} || ' a ' || {_SIZE} || ' m2 de la playa' when 5 then 'casa de 90 m2, ' || {_OWNER} || ' de ' || {_SIZE} || ' m2' else {_OWNER} || ' de ' || {_SIZE} || ' km' end"
+_AUCTION = "case (doc_id * 19) % 8 when 0 then 'venta en subasta' when 1 then 'no es una subasta' when 2 then 'sin subasta' when 3 then 'no procede de la subasta' when 4 then 'casa en puja' when 5 then 'no hay prisa, pronto en subasta' when 6 then 'ni subasta ni puja, pero subasta' else 'casa' end"
+_LOW, _HIGH = "((doc_id * 37) % 3000 + 1)", "((doc_id * 41) % 900 + 5)"
+_TICKET = f"case (doc_id * 23) % 6 when 0 then '€' || cast({_LOW} as varchar(9)) || ' - €' || cast({_HIGH} as varchar(9)) || 'k' when 1 then cast({_LOW} as varchar(9)) || 'k a ' || cast({_HIGH} as varchar(9)) || 'M EUR' when 2 then '$' || cast({_LOW} as varchar(9)) || ' to $' || cast({_HIGH} as varchar(9)) when 3 then '€' || cast({_LOW} as varchar(9)) || ' - €' || cast({_HIGH} as varchar(9)) || 'k al mes' when 4 then '€' || cast({_LOW} as varchar(9)) || ' - $' || cast({_HIGH} as varchar(9)) || 'k' else cast({_LOW} as varchar(9)) || ' - ' || cast({_HIGH} as varchar(9)) || 'k' end"
+_TEXT = "translate(coalesce(text, ''), '€$£', 'xxx')"  # amounts of the document's own would be read as well, by both, but not by a short pattern
+
+
+def _told(kind: str) -> str:
+    return f"case when {kind} in ('parcela', 'terreno', 'finca') then 'plot' when {kind} in ('casa', 'chalet', 'vivienda') then 'built' when {kind} in ('piso', 'loft') then 'flat' when {kind} in ('terraza', 'garaje') then 'part' end"
+
+
+@plan(rf"""with a as (select doc_id, {_planted(_AREA, _TEXT, 11)} as text from documents), b as (select doc_id, {_planted(_AUCTION, "text", 5)} as text from a), d as materialized (select doc_id, {_planted(_TICKET, "text", 3)} as text from b),
+  h as (select doc_id, unnest(regexp_extract_all(text, '(?:[a-z]+ (?:de|a) )?[0-9][0-9.]* m2(?: de [a-z]+)?')) as hit from d),
+  k as (select doc_id, replace(regexp_extract(hit, '([0-9][0-9.]*) m2', 1), '.', '')::double as m2, regexp_extract(hit, '^[a-z]+ (de|a) ', 1) as link, coalesce({_told("regexp_extract(hit, 'm2 de ([a-z]+)$', 1)")}, case when regexp_extract(hit, '^[a-z]+ (de) ', 1) = 'de' then {_told("regexp_extract(hit, '^([a-z]+) de ', 1)")} end) as kind from h),
+  s as (select doc_id, list_sort(list(kind || ' ' || m2::bigint)) as areas from k where link <> 'a' and kind <> 'part' group by doc_id),
+  r as (select doc_id, regexp_extract(text, '([€$]?[0-9]+k?)(?: - | a | to )([€$]?[0-9]+[kM]?)((?: EUR| al mes)?)', ['lo', 'hi', 'tail']) as x from d),
+  v as (select doc_id, x.tail as tail, left(x.lo, 1) as sa, left(x.hi, 1) as sb, contains(x.lo, 'k') as lk, regexp_extract(x.lo, '[0-9]+')::double * case when contains(x.lo, 'k') then 1e3 else 1 end as lo,
+    regexp_extract(x.hi, '[0-9]+')::double * case when contains(x.hi, 'k') then 1e3 when contains(x.hi, 'M') then 1e6 else 1 end as hi from r where x.lo <> ''),
+  w as (select *, (sa in ('€', '$') or sb in ('€', '$') or tail = ' EUR') and not (sa in ('€', '$') and sb in ('€', '$') and sa <> sb) as one from v)
+  select d.doc_id, coalesce(s.areas, []) as areas,
+    len(regexp_extract_all(text, '\b(?:subasta|puja)\b')) > len(regexp_extract_all(text, '\b(?:sin|ni|no es una|no procede de la) (?:subasta|puja)\b')) as auction,
+    case when one and tail <> ' al mes' and hi > lo and not (not lk and lo < 1000 and lo * 1000 <= hi) then lo end as low, case when one and tail <> ' al mes' and hi > lo then hi end as high
+  from d left join s using (doc_id) left join w using (doc_id)""")
+def planted_clauses(spark, sf):
+    """Areas with owners, auctions and ticket ranges read from whole documents, in which sentences stand at random places."""
+    d = spread(t(spark, sf, "documents")).select("doc_id", F.expr(_planted(_AREA, _TEXT, 11)).alias("text"))
+    for sentence, k in ((_AUCTION, 5), (_TICKET, 3)):
+        d = d.select("doc_id", F.expr(_planted(sentence, "text", k)).alias("text"))
+    d = d.withColumn("r", C.reading(F.col("text"), "stated", "auction", "ranges"))
+    areas = F.array_sort(F.transform("r.stated", lambda a: F.concat_ws(" ", a["kind"], a["m2"].cast("long").cast("string"))))
+    first = F.get("r.ranges", F.lit(0))
+    return d.select("doc_id", areas.alias("areas"), "r.auction", first["low"].alias("low"), first["high"].alias("high"))
