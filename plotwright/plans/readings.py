@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from plotwright.functions import answers as A
@@ -35,10 +33,16 @@ def written_sql(name, inputs):
 @plan("""select n_name as query, engine, (i // 10 + 1)::int as page, (i + 1)::int as rank, 'https://site' || i || '.test/' || n_name as url, engine || ' ' || i as title, '' as snippet
   from (select n_name, engine, unnest(range(0, least(20, n_nationkey % m))) as i from nation, (values ('cse', 14), ('serp', 31)) e(engine, m))""")
 def search_hits(spark, sf):
-    """The hits of a paged source; the nations' names, a closed list, are its queries."""
-    hits.register(spark)
-    asked = {r.n_name: {e: [{"url": f"https://site{i}.test/{r.n_name}", "title": f"{e} {i}"} for i in range(r.n_nationkey % m)] for e, m in (("cse", 14), ("serp", 31))} for r in t(spark, sf, "nation").collect()}
-    return spark.read.format("hits").option("answers", json.dumps(asked)).option("pages", 2).load()
+    """The hits of two backends for the nations' names, two pages each; a name's number says how many there are."""
+
+    def backend(engine, m):
+        def page(query, n):
+            every = range(int(query.rsplit("_", 1)[1]) % m)
+            return [{"url": f"https://site{i}.test/{query}", "title": f"{engine} {i}"} for i in every[(n - 1) * hits.PAGE : n * hits.PAGE]]
+
+        return page
+
+    return hits.paged_hits(t(spark, sf, "nation"), {e: backend(e, m) for e, m in (("cse", 14), ("serp", 31))}, 2, "n_name")
 
 
 _NODE = f"""'{{"@type":"Apartment","name":"' || p_name || '","offers":{{"price":"' || case p_partkey % 3 when 0 then {SIZE} || '000.00' when 1 then {SIZE} || '.000 EUR' else '1,' || lpad({SIZE}, 3, '0') end || '","priceCurrency":"eur"}},"floorSize":{{"value":' || cast(p_size * 7 as string) || ',"unitCode":"' || case p_partkey % 5 when 0 then 'FTK ft' else 'MTK' end || '"}},"numberOfRooms":' || cast(p_size % 6 as string) || ',"address":{{"streetAddress":"Calle ' || {SIZE} || '","addressLocality":"Madrid","addressCountry":{{"name":"ES"}}}},"url":"/ad/' || {K} || '"}}'"""

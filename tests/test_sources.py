@@ -77,6 +77,15 @@ def test_hits_source(spark):
     assert [r.url for r in merge_hits(got, "url", "rank", "engine", 3).collect()] == ["https://h.test/0", "https://h.test/3", "https://h.test/1"]
 
 
+def test_paged_hits(spark):
+    have = {"a": 25, "b": 10, "c": 0}
+    asked = lambda q, n: [{"url": f"https://h.test/{q}/{i}"} for i in range(have[q])][(n - 1) * 10 : n * 10]
+    queries = spark.createDataFrame([("a",), ("b",), ("c",), ("a",), (None,), ("",)], "query string")
+    got = hits.paged_hits(queries, {"one": asked, "two": lambda q, n: asked(q, n)[:3]}, 2)
+    want = [("a", "one", i // 10 + 1, i + 1) for i in range(20)] + [("b", "one", 1, i + 1) for i in range(10)] + [(q, "two", 1, i + 1) for q in "ab" for i in range(3)]
+    assert sorted(map(tuple, got.select("query", "engine", "page", "rank").collect())) == sorted(want)
+
+
 def scalar(spark, f, *values):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, x string")
     return [r.y for r in df.select("i", f(F.col("x")).alias("y")).orderBy("i").collect()]
