@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from plotwright.streaming.leases import answer, leases
+from plotwright.streaming.leases import OUT, answer, leases
 
 SCHEMA = "k string, n long, who string, fin boolean, ts timestamp"
 
@@ -27,7 +27,7 @@ def stream(spark, path, lease, ttl, clock=False):
 
 
 def told(spark, path):
-    return [tuple(r) for r in spark.read.parquet(f"{path}/out").select("key", "n", "worker", "verdict").collect()]
+    return [tuple(r) for r in spark.read.schema(OUT).parquet(f"{path}/out").select("key", "n", "worker", "verdict").collect()]
 
 
 def run(spark, path, batches, lease, ttl):
@@ -67,12 +67,12 @@ def test_timers(spark, tmp_path):
     write(spark, path, [("x", 1, "a", False, t)])
     q = stream(spark, path, 1, None, True).trigger(processingTime="1 second").start()
     try:
-        for _ in range(60):
+        for _ in range(120):
             time.sleep(1)
             if any(r[3] == "expired" for r in (told(spark, path) if (tmp_path / "out" / "_spark_metadata").exists() else [])):
                 break
         write(spark, path, [("x", 2, "c", False, t + 2)])
-        for _ in range(60):
+        for _ in range(120):
             time.sleep(1)
             if any(r[1] == 2 for r in told(spark, path)):
                 break
