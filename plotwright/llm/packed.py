@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 
 #: Numbers in a bucket; a bucket is sorted in one go, so this bounds the memory of a task.
 BUCKET = 1 << 20
+#: Bytes of a check that travel with a number.
+CHECK = 6
 SENT = "chunk long, part int, bucket int, blob binary"
 SENT_ARROW = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -36,12 +38,12 @@ HEAD = "<IB??QI"
 
 
 def pack(values: np.ndarray, again: np.ndarray, checks: np.ndarray | None = None) -> bytes:
-    """Sorted uint64 as byte planes of their differences, a bit each for those that stand several times, a uint64 beside each if given."""
+    """Sorted uint64 as byte planes of their differences, a bit each for those that stand several times, the low CHECK bytes of a uint64 beside each if given."""
     steps = np.diff(values)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width].T)
     body = zstandard.compress(planes.tobytes() + (np.packbits(again).tobytes() if again.any() else b""), 1)
-    return struct.pack(HEAD, len(values), width, again.any(), checks is not None, int(values[0]), len(body)) + body + (b"" if checks is None else checks.astype("<u8").tobytes())
+    return struct.pack(HEAD, len(values), width, again.any(), checks is not None, int(values[0]), len(body)) + body + (b"" if checks is None else checks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHECK].tobytes())
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -56,7 +58,11 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     values = steps.view(np.uint64).ravel()
     values[0] = first
     again = np.unpackbits(body[cut:], count=n).view(bool) if some else np.zeros(n, bool)
-    return np.cumsum(values, dtype=np.uint64), again, np.frombuffer(blob, "<u8", offset=at + size) if checked else None
+    if not checked:
+        return np.cumsum(values, dtype=np.uint64), again, None
+    checks = np.zeros((n, 8), np.uint8)
+    checks[:, :CHECK] = np.frombuffer(blob, np.uint8, offset=at + size).reshape(n, CHECK)
+    return np.cumsum(values, dtype=np.uint64), again, checks.view(np.uint64).ravel()
 
 
 def bucket_bits(total: int) -> int:

@@ -103,14 +103,14 @@ class Chunk:
         return at[order], key[order]
 
     def checks(self, start: int, at: np.ndarray) -> np.ndarray:
-        """64 more bits of the strings of LENGTH bytes, folded eight bytes at a time, so that no algebra of the sort keys carries over."""
+        """48 more bits of the strings of LENGTH bytes, folded eight bytes at a time, so that no algebra of the sort keys carries over."""
         eight = np.lib.stride_tricks.sliding_window_view(self.flat[start:], 8)
         h = np.full(len(at), BASE, np.uint64)
         for k in range(0, LENGTH, 8):
             h ^= eight[at + k].view(np.uint64).ravel()
             h *= np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-        return h
+        return h >> np.uint64(16)
 
 
 def _rows(batches):
@@ -179,7 +179,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept
        both, so both have a tied sample in reach.
     3. Only suffixes with a tied sample in reach are sorted, by the hash of LENGTH bytes and again bucket by bucket, so
        that a task holds one bucket. Order among unequal suffixes isn't needed, so a 64-bit hash stands for them; those
-       that tie must agree in 64 bits of a second hash of another kind as well, so 128 bits stand for a string. A string that many places have is one
+       that tie must agree in 48 bits of a second hash of another kind as well, so 112 bits stand for a string. A string that many places have is one
        entry of each part that has it.
     4. Marks go back to their chunks, which take out what is covered.
     """
