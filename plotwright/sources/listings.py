@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plotwright.session import table
+from plotwright.session import spread, table
 
 CITIES = ["Madrid", "Valencia", "Alicante", "Sevilla"]
 HOSTS = ["idealista.com", "fotocasa.es", "pisos.com"]
@@ -26,7 +26,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda xs, i: F.get(F.array(*map(F.lit, xs)), i.cast("int"))
     word = lambda i: F.split("p_name", " ")[i]
     site = pick(HOSTS, k % 3)
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         k.alias("id"), F.when(k % 17 != 0, F.round(F.col("p_retailprice") * (1 + size % 9), 0)).alias("price"),
         F.when(k % 11 == 0, "USD").otherwise("EUR").alias("currency"), F.when(k % 13 != 0, size * 5.0).alias("area"),
         F.nullif(size % 6, F.lit(0)).alias("rooms"), F.when(k % 3 == 0, "rent").when(k % 3 == 1, "sale").alias("deal"),
