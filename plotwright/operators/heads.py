@@ -79,7 +79,7 @@ class HeadStore:
         attached = durable(self._attached(ready, keyed, done))
         rest = ready.join(attached.select(F.col("id").alias(self.id)), self.id, "left_anti")
         loose = new.join(attached.select(F.col("id").alias(self.id)), self.id, "left_anti")
-        scanned = durable(I.first_heads(loose, I.object_pairs(loose, self.cities, self.optional, self.id), self.id))
+        scanned = durable(I.clusters(loose, self.cities, self.optional, self.id))
         linked = attached.unionByName(scanned)
         heads = scanned.where("id = head_id").select(F.col("id").alias(self.id))
         linked.write.mode("overwrite").parquet(f"{self.path}/links/batch={number}")
@@ -109,4 +109,4 @@ class HeadStore:
         heads = self.table("heads", schema, done).where(F.col("bucket").isin(wanted))
         side = lambda df, n, key: df.select(F.col(self.id).alias(key), F.struct(*[c for c in ready.columns if c != self.id]).alias(n))
         both = met.join(side(ready, "a", "id"), "id").join(side(heads, "b", "head_id"), "head_id")
-        return both.where(I.same_object(F.col("a"), F.col("b"), self.optional)).groupBy("id").agg(F.min("head_id").alias("head_id"))
+        return both.where(I.judged(self.optional)).groupBy("id").agg(F.min("head_id").alias("head_id"))
