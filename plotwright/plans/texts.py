@@ -205,11 +205,11 @@ def _told(kind: str) -> str:
     case when one and tail <> ' al mes' and hi > lo and not (not lk and lo < 1000 and lo * 1000 <= hi) then lo end as low, case when one and tail <> ' al mes' and hi > lo then hi end as high
   from d left join s using (doc_id) left join w using (doc_id)""")
 def planted_clauses(spark, sf):
-    """Areas with owners, auctions and ticket ranges read from whole documents, in which sentences stand at random places."""
+    """Areas with owners, auctions and ticket ranges read from whole documents, in which sentences stand at random places. One that another cuts in its figure may say an area of 0, which is told as it is written."""
     d = spread(t(spark, sf, "documents")).select("doc_id", F.expr(_planted(_AREA, _TEXT, 11)).alias("text"))
     for sentence, k in ((_AUCTION, 5), (_TICKET, 3)):
         d = d.select("doc_id", F.expr(_planted(sentence, "text", k)).alias("text"))
-    d = d.withColumn("r", C.reading(F.col("text"), "stated", "auction", "ranges"))
-    areas = F.array_sort(F.transform("r.stated", lambda a: F.concat_ws(" ", a["kind"], a["m2"].cast("long").cast("string"))))
+    d = d.withColumn("r", C.reading(F.col("text"), "written", "auction", "ranges"))
+    areas = F.array_sort(F.transform("r.written", lambda a: F.concat_ws(" ", a["kind"], a["m2"].cast("long").cast("string"))))
     first = F.get("r.ranges", F.lit(0))
     return d.select("doc_id", areas.alias("areas"), "r.auction", first["low"].alias("low"), first["high"].alias("high"))
