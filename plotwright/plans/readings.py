@@ -13,6 +13,7 @@ from plotwright.operators import matching as M
 from plotwright.operators import rules as R
 from plotwright.plans.registry import plan
 from plotwright.plans.web import NORMAL
+from plotwright.session import spread
 from plotwright.session import table as t
 from plotwright.sources import hits, jsonld, providers, social
 
@@ -22,7 +23,7 @@ K, SIZE = "cast(p_partkey as string)", "cast(p_size as string)"
 
 def written(spark, sf, name, inputs):
     """The table with input columns by expressions that both engines read alike."""
-    return t(spark, sf, name).select("*", *[F.expr(e).alias(n) for n, e in inputs.items()])
+    return spread(t(spark, sf, name)).select("*", *[F.expr(e).alias(n) for n, e in inputs.items()])
 
 
 def written_sql(name, inputs):
